@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,54 @@ def keep_columns(batch: pa.RecordBatch, names: list[str], more: dict[str, pa.Arr
     return pa.RecordBatch.from_arrays([batch.column(n) for n in names] + list(more.values()), names=[*names, *more])
 
 
+class Lookup:
+    """An open-addressed table of nonzero uint64 keys that grows: one gather finds most keys of
+    a batch."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.n, self.keys = 0, np.zeros(0, np.uint64)
+        self.values = np.zeros(0, values.dtype)
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Takes distinct keys that are not in the table."""
+        self.n += len(keys)
+        if self.n * 2 > len(self.keys) or not len(self.keys):
+            old = self.keys != 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            bits = max(10, int(self.n * 3).bit_length())
+            self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+            self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, values.dtype)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            first = np.unique(slot[left[free]], return_index=True)[1]
+            put = left[free][first]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where there is none), and which keys are there."""
+        slot = self._slot(keys)
+        found = self.keys[slot]
+        hit = found == keys
+        value = np.where(hit, self.values[slot], self.values.dtype.type(0))
+        left = np.flatnonzero(~hit & (found != 0))
+        at = slot[left]
+        while len(left):
+            at = (at + 1) & self.last
+            got = self.keys[at]
+            same = got == keys[left]
+            value[left[same]], hit[left[same]] = self.values[at[same]], True
+            more = ~same & (got != 0)
+            left, at = left[more], at[more]
+        return value, hit
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest
     node reachable, for each node with an edge.
