@@ -57,7 +57,7 @@ def dedup_lines(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     gone = common.written(covered(docs, frequent))
     marked = docs.withColumn("_of", F.xxhash64("text"))
     on = marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_of"] == gone["_mark"])
-    joined = marked.join(gone, on, "left")
+    joined = marked.join(gone.hint("merge"), on, "left")  # the same plan at every size
     held = joined.withColumn("_split", F.explode(F.array(F.split("text", "\n"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), F.col("gone"))
     text = F.array_join(F.transform(kept, lambda i: F.col("_split")[i]), "\n")
