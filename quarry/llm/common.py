@@ -40,6 +40,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def renamed(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
+    """df with the columns that aren't `own` renamed to c0, c1, ..., so that none clashes with an
+    operator's own; and what selects the old names."""
+    names = [c if c in own else f"c{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to have `rows` rows at most; else as it is,
     so that a join with it shuffles."""

@@ -147,7 +147,8 @@ def n_hit() -> Any:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, **options: Any) -> DataFrame:
     """docs without the documents that hold a window of an item; all their columns."""
-    return marked(docs, benchmark, size, **options).where(F.size("_spans") == 0).select(*docs.columns)
+    inner, back = common.renamed(docs, "text")
+    return marked(inner, benchmark, size, **options).where(F.size("_spans") == 0).select(*back)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, **options: Any) -> DataFrame:

@@ -73,7 +73,9 @@ class Network:
                 np.add.at(grad["embed"], np.take_along_axis(x, top + j, 1), de[:, :, j])
         return grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 3e-3, seed: int = 11) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 3e-3, seed: int = 11, steps: int = 450) -> None:
+        """`epochs` times over the windows, oftener if that makes fewer than `steps` steps."""
+        epochs = max(epochs, -(-steps * batch // max(1, len(x))))
         rng, t = np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
         for _ in range(epochs):

@@ -53,7 +53,13 @@ def covered(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """docs with repeated windows' lines removed; also _lines and _removed, their numbers."""
+    """docs with repeated windows' lines removed; also _lines and _removed, their numbers (columns
+    of docs with these names are replaced)."""
+    return _deduped(docs.drop("_lines", "_removed"), frequent, True)
+
+
+def _deduped(docs: DataFrame, frequent: int, numbers: bool) -> DataFrame:
+    docs, back = common.renamed(docs, "doc_id", "text", "n_chars")
     gone = common.written(covered(docs, frequent))
     marked = docs.withColumn("_of", F.xxhash64("text"))
     on = marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_of"] == gone["_mark"])
@@ -64,12 +70,12 @@ def dedup_lines(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     out = held.withColumns({"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(text), "_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_split")).cast("long"), "_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "_lines", "_removed")
+    return out.select(*back, *(["_lines", "_removed"] if numbers else []))
 
 
 def without_repeats(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """docs with their own columns alone."""
-    return dedup_lines(docs, frequent).select(*docs.columns)
+    return _deduped(docs, frequent, False)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import OP3_SQL, op3_decontamination
-from .embeddings import op7_embeddings
+from .embeddings import OP7_SQL, op7_embeddings
 from .langid import op8_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .packing import op9_packing
@@ -19,4 +19,4 @@ from .urls import OP4_SQL, op4_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_decontamination, op4_url_filters, op5_simhash, op6_pii, op7_embeddings, op8_language_id, op9_packing, op10_line_dedup)}
 
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op4_url_filters": OP4_SQL, "op7_embeddings": OP7_SQL, "op10_line_dedup": OP10_SQL}
