@@ -51,9 +51,9 @@ def snippet(content: Column, line: Column) -> Column:
 
 
 def middle_cut(s: Column, width: int) -> Column:
-    """Longer texts as their two ends with ... between, `width` characters or one less."""
+    """Longer texts as their two ends with ... between, `width` characters, the odd one at the end."""
     side = (width - 3) // 2
-    return F.when(F.length(s) > width, F.concat(F.left(s, F.lit(side + (width - 3) % 2)), F.lit("..."), F.right(s, F.lit(side)))).otherwise(s)
+    return F.when(F.length(s) > width, F.concat(F.left(s, F.lit(side)), F.lit("..."), F.right(s, F.lit(side + (width - 3) % 2)))).otherwise(s)
 
 
 def parent_directory(path: Column) -> Column:
@@ -115,8 +115,12 @@ DEFINITIONS = {
 
 def line_definitions(kind: Column, line: Column) -> Column:
     """(symbol, symbol_type) found in a line of a file type."""
+
+    def named(pattern: str, kind: str) -> Column:
+        return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: F.struct(x.alias("symbol"), F.lit(kind).alias("symbol_type")))
+
     out = F.array().cast("array<struct<symbol:string,symbol_type:string>>")
     for language, patterns in DEFINITIONS.items():
-        found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(line, F.lit(p), F.lit(1)), lambda x, t=t: F.struct(x.alias("symbol"), F.lit(t).alias("symbol_type"))) for p, t in patterns)))
+        found = F.flatten(F.array(*(named(*p) for p in patterns)))
         out = F.when(kind == language, found).otherwise(out)
     return out

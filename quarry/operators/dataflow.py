@@ -128,7 +128,7 @@ def shard_names(name: str) -> list[str]:
 
 
 def boundaries(keys: list[str], shards: int) -> list[str]:
-    """At most `shards` of the distinct sorted keys, evenly spread; the last is always there."""
+    """At most `shards` of the distinct sorted keys, evenly spread."""
     keys = sorted(set(keys))
     if len(keys) <= shards:
         return keys
