@@ -271,3 +271,9 @@ def test_crawl(spark: SparkSession, tmp_path: Path) -> None:
         (tmp_path / name).write_bytes(data)
     found = {os.path.basename(r.filename): (r.content, r.is_binary) for r in records.crawl(spark, str(tmp_path)).collect()}
     assert found["a.py"] == ("x = 1\n", False) and found["b.bin"][1] and ".hidden" not in found
+
+
+def test_trigrams_of_any_signs(spark: SparkSession) -> None:
+    texts = ["a😀b😀", "ab", "", None, "é\tx\ny", "aaaa"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(T.trigrams(F.col("t"))).collect()
+    assert [r[0] for r in got] == [None if t is None else [t[i : i + 3] for i in range(len(t) - 2)] for t in texts]
