@@ -75,23 +75,67 @@ def three_way(base: DataFrame, remote: DataFrame, local: DataFrame, key: str) ->
     return out.withColumn("state", state)
 
 
+#: Bits of the table of a longest common subsequence that are held at once (32 MB).
+TABLE_BITS = 1 << 28
+
+
 def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
-    """A longest common subsequence as index pairs, by a table of lengths."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
-    i = j = 0
-    out = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
+    """A longest common subsequence as index pairs. Common ends go first; between them the table of
+    lengths is a bit for each pair, a row at a time as one integer, and halved beyond TABLE_BITS."""
+    head, least = 0, min(len(a), len(b))
+    while head < least and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    out = [(i, i) for i in range(head)] + [(head + i, head + j) for i, j in _between(x, y)]
+    return out + [(len(a) - i, len(b) - i) for i in range(tail, 0, -1)]
+
+
+def _rows(a: list, b: list) -> Iterator[int]:
+    """For each head of a, the empty one first: bit j is 0 where b[: j + 1] has a longer
+    subsequence in common with it than b[:j]."""
+    at: dict = {}
+    for j, v in enumerate(b):
+        at[v] = at.get(v, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    yield row
+    for v in a:
+        if hit := row & at.get(v, 0):
+            row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _between(a: list, b: list) -> list[tuple[int, int]]:
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > TABLE_BITS:
+        half = len(a) // 2
+        for ahead in _rows(a[:half], b):
+            pass
+        for behind in _rows(a[: half - 1 : -1], b[::-1]):
+            pass
+        # where b is cut: the most in common before and after
+        n = best = len(b) - behind.bit_count()
+        cut, bits, back = 0, f"{ahead:0{len(b)}b}"[::-1], f"{behind:0{len(b)}b}"
+        for j in range(len(b)):
+            n += (bits[j] == "0") - (back[j] == "0")
+            if n > best:
+                best, cut = n, j + 1
+        return common_subsequence(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in common_subsequence(a[half:], b[cut:])]
+    rows = list(_rows(a, b))
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif rows[i - 1] >> (j - 1) & 1:
+            i, j = i - 1, j - 1
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
         else:
-            j += 1
-    return out
+            i -= 1
+    return out[::-1]
 
 
 def patience(a: list, b: list) -> list[tuple[str, object]]:

@@ -168,7 +168,7 @@ def arr03_patience_diff(t) -> DataFrame:
 @query()
 def arr05_three_way_merge(t) -> DataFrame:
     lines = F.split("text", "\n")
-    rows = t("documents").where("n_chars < 1200").select("doc_id", F.col("text").alias("base"), F.concat(F.col("text"), F.lit("\nlocal")).alias("local"), F.concat(F.lit("remote\n"), F.array_join(lines, "\n")).alias("remote"))
+    rows = t("documents").select("doc_id", F.col("text").alias("base"), F.concat(F.col("text"), F.lit("\nlocal")).alias("local"), F.concat(F.lit("remote\n"), F.array_join(lines, "\n")).alias("remote"))
     return V.merge_texts(rows, ["doc_id"])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scalars
 from quarry.functions import text as T
 from quarry.operators import cells, dataflow, diffs, graph, logs
-from quarry.plans import index, registry, search
+from quarry.plans import index, queries_versions, registry, search
 from quarry.sources import records
 from quarry.streaming import logs as live_logs
 from quarry.streaming import queue
@@ -175,6 +175,34 @@ def test_index_and_search(spark: SparkSession) -> None:
         search.search(built, "")
 
 
+def test_common_subsequence_equals_brute_force_and_takes_long_texts(monkeypatch: pytest.MonkeyPatch) -> None:
+    rng = random.Random(2)
+    for bits in (diffs.TABLE_BITS, 4):
+        monkeypatch.setattr(diffs, "TABLE_BITS", bits)
+        for _ in range(400):
+            a, b = (rng.choices("abcd"[: rng.randint(1, 4)], k=rng.randint(0, 14)) for _ in range(2))
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            got = diffs.common_subsequence(a, b)
+            assert len(got) == table[-1][-1] and all(a[i] == b[j] for i, j in got)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:]))
+    monkeypatch.undo()
+    long = [str(i % 50) for i in range(100_000)]
+    assert diffs.merge3(long, [*long, "local"], ["remote", *long]) == (["remote", *long, "local"], 0)
+    base = [str(rng.randrange(300)) for _ in range(4000)]
+    ours, theirs = ["x", *base[:2000], "ours", *base[2000:], "y"], ["z", *base[:3000], "theirs", *base[3000:], "z"]
+    assert diffs.merge3(base, ours, theirs)[1] == 2
+
+
+def test_three_way_merge_has_every_document_whole(spark: SparkSession) -> None:
+    texts = {1: "a\nb", 2: "line\n" * 30_000, 3: None, 4: ""}
+    given = spark.createDataFrame([(i, t, len(t) if t and i != 1 else None) for i, t in texts.items()], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.merged, r.n_conflicts) for r in queries_versions.arr05_three_way_merge(lambda _: given).collect()}
+    assert got == {i: (f"remote\n{t}\nlocal" if t is not None else "", 0) for i, t in texts.items()}
+
+
 def test_page_rank_by_hand(spark: SparkSession) -> None:
     nodes, edges = spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("b", "c")], "src string, dst string")
     want = dict.fromkeys("abc", 1.0)
