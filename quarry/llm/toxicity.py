@@ -9,9 +9,9 @@ it says nothing; else every topic or language that is a little commoner in a cla
 the few words that matter. A text's score is a logistic function of the difference of its two
 log-likelihoods, divided by its number of words.
 
-Counts come from every labelled training row and are summed in Spark, a row for each word;
-distinct words before are counted in 256 bins (linear counting), joined by bit_or. The model that
-is broadcast has `max_words` words at most: those with the most evidence over all rows.
+Counts come from every labelled training row and are summed in Spark, first a row for each pair
+of a word and the word before it, then a row for each word, so that the distinct words before are
+counted one by one (the start of a text counts as one of them). The model that is broadcast has `max_words` words at most: those with the most evidence over all rows.
 
 Defined cases: a null or empty text has a difference of 0; null ids are never trained on and not
 held out; of several labels for an id the highest counts; repeated rows are scored alike; with
@@ -33,8 +33,8 @@ from . import common
 
 DISCOUNT, LEAST_EVIDENCE, LEAST_RATIO, SPREAD = 0.75, 10.83, 1.0, 200.0
 _SEPARATE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-_STEP, _BINS = 0x9E3779B97F4A7C15, 256
-_COUNTS = "key long, n_toxic long, n_ordinary long, d_toxic long, d_ordinary long, m0 long, m1 long, m2 long, m3 long"
+_STEP = 0x9E3779B97F4A7C15
+_COUNTS = "key long, before long, n_toxic long, n_ordinary long, d_toxic long, d_ordinary long"
 
 
 class _Powers:
@@ -66,27 +66,31 @@ def word_keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) rows to counts of words and of documents with them by class, and the bins of
-    the words before, summed within about a megabyte of text."""
+    """(text, toxic) rows to counts of words and of documents with them by class, for each word
+    before, summed within about a megabyte of text; a document counts where a word comes first."""
     for batch, texts in common.pieces(batches, "text"):
         key, doc = word_keys(texts)
         if not len(key):
             continue
         toxic = np.array(batch.column("toxic").to_pylist(), bool)[doc]
         first_of_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
-        before = np.where(first_of_doc, np.uint64(0), np.concatenate([[np.uint64(0)], key[:-1]]) >> np.uint64(56)).astype(np.uint64)
+        before = np.where(first_of_doc, np.uint64(0), np.concatenate([key[:1], key[:-1]]))
         by = np.lexsort((doc, key))
-        key, doc, toxic, before = key[by], doc[by], toxic[by], before[by]
-        new_word = np.concatenate([[True], key[1:] != key[:-1]])
-        new_doc = new_word | np.concatenate([[True], doc[1:] != doc[:-1]])
-        at = np.flatnonzero(new_word)
-        columns = [key[at].view(np.int64)] + [np.add.reduceat(x.astype(np.int64), at) for x in (toxic, ~toxic, new_doc & toxic, new_doc & ~toxic)]
-        for i in range(_BINS // 64):
-            bit = np.where(before >> np.uint64(6) == i, np.uint64(1) << (before & np.uint64(63)), np.uint64(0))
-            columns.append(np.bitwise_or.reduceat(bit, at).view(np.int64))
+        new_doc = np.zeros(len(key), bool)
+        new_doc[by] = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (doc[by][1:] != doc[by][:-1])])
+        by = np.lexsort((before, key))
+        key, before, toxic, new_doc = key[by], before[by], toxic[by], new_doc[by]
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (before[1:] != before[:-1])]))
+        columns = [key[at].view(np.int64), before[at].view(np.int64)] + [np.add.reduceat(x.astype(np.int64), at) for x in (toxic, ~toxic, new_doc & toxic, new_doc & ~toxic)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in _COUNTS.split(", ")])
 
 
+def word_counts(learned: DataFrame) -> DataFrame:
+    """(key, n_toxic, n_ordinary, d_toxic, d_ordinary, words_before) of rows (text, toxic)."""
+    sums = [F.sum(c).alias(c) for c in ("n_toxic", "n_ordinary", "d_toxic", "d_ordinary")]
+    return learned.mapInArrow(count_words, _COUNTS).groupBy("key", "before").agg(*sums).groupBy("key").agg(*sums, F.count("*").alias("words_before"))
+
+
 def differences(model: common.Lookup, texts: list) -> np.ndarray:
     """The length-normalised difference of log-likelihoods of each text."""
     key, doc = word_keys(texts)
@@ -138,13 +142,11 @@ def _differences_of(batches: Iterator[pa.RecordBatch], tables: Any, keep: list[s
 
 def word_ratios(counts: DataFrame, discount: float = DISCOUNT, least_evidence: float = LEAST_EVIDENCE, least_ratio: float = LEAST_RATIO) -> DataFrame:
     """(key, evidence, ratio) of the words whose counts differ by class; counts: as summed, and
-    documents by class in d_toxic and d_ordinary. Empty if a class has no words."""
-    bins = F.least(sum((F.bit_count(f"m{i}") for i in range(_BINS // 64)), F.lit(0)), F.lit(_BINS - 0.5))
-    words = counts.withColumn("words_before", -_BINS * F.log(1 - bins / _BINS))
+    documents by class in d_toxic and d_ordinary, distinct words before in words_before. Empty if a class has no words."""
     freed = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"freed_{c}") for c in ("n_toxic", "n_ordinary")]
-    t = words.agg(F.sum("n_toxic").alias("nt"), F.sum("n_ordinary").alias("no"), F.max("docs_toxic").alias("dt"), F.max("docs_ordinary").alias("do"), F.sum("words_before").alias("wb"), *freed).first()
+    t = counts.agg(F.sum("n_toxic").alias("nt"), F.sum("n_ordinary").alias("no"), F.max("docs_toxic").alias("dt"), F.max("docs_ordinary").alias("do"), F.sum("words_before").alias("wb"), *freed).first()
     if not t["nt"] or not t["no"]:
-        return words.select("key", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("ratio")).limit(0)
+        return counts.select("key", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("ratio")).limit(0)
     back = F.col("words_before") / t["wb"]
     p = [F.greatest(F.col(c) - discount, F.lit(0.0)) / n + t[f"freed_{c}"] / n * back for c, n in (("n_toxic", t["nt"]), ("n_ordinary", t["no"]))]
     both, docs = F.col("d_toxic") + F.col("d_ordinary"), t["dt"] + t["do"]
@@ -153,7 +155,7 @@ def word_ratios(counts: DataFrame, discount: float = DISCOUNT, least_evidence: f
         return F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * docs / (both * n))).otherwise(0.0)
 
     evidence = 2 * (part("d_toxic", t["dt"]) + part("d_ordinary", t["do"]))
-    out = words.select("key", evidence.alias("evidence"), F.log(p[0] / p[1]).alias("ratio"))
+    out = counts.select("key", evidence.alias("evidence"), F.log(p[0] / p[1]).alias("ratio"))
     return out.where((F.col("evidence") >= least_evidence) & (F.abs("ratio") >= least_ratio))
 
 
@@ -164,8 +166,7 @@ def train(labelled: DataFrame, max_words: int = 1 << 20) -> Model:
     part = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % 4
     learned = labelled.where(part != 0).select("text", F.col("toxic").cast("int").alias("toxic"))
     docs = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
-    sums = [F.sum(c).alias(c) for c in ("n_toxic", "n_ordinary", "d_toxic", "d_ordinary")] + [F.bit_or(f"m{i}").alias(f"m{i}") for i in range(_BINS // 64)]
-    counts = common.written(learned.mapInArrow(count_words, _COUNTS).groupBy("key").agg(*sums))
+    counts = common.written(word_counts(learned))
     counts = counts.withColumns({"docs_toxic": F.lit(docs.get(1, 0)), "docs_ordinary": F.lit(docs.get(0, 0))})
     ratios = word_ratios(counts)
     # evidence in powers of 1.1: at most a few hundred bins, whatever the input
