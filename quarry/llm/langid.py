@@ -2,8 +2,8 @@
 
 Fixed windows of bytes; filters of several widths over byte embeddings; the largest value of each
 filter in the window; a softmax. Training is plain numpy on the driver, on a bounded sample:
-`per_class` windows of each language at most, one from each text that a hash of the text chooses
-(the bound is this parameter; languages number `MAX_CLASSES` at most, the most frequent first).
+`per_class` windows of each language at most, one from each distinct text that a hash of the text
+chooses (the bound is this parameter; every language is learned, however many there are).
 Whole texts are judged: each is cut into windows, and the windows' probabilities are averaged by
 the bytes they hold. Since a filter is linear in its bytes, it becomes sums of table entries for
 pairs of bytes, so a window costs a few gathers for each byte.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, WIDTHS, FILTERS, DIM, MAX_CLASSES = 192, (2, 3, 4), 16, 12, 100
+WINDOW, WIDTHS, FILTERS, DIM = 192, (2, 3, 4), 16, 12
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -153,12 +153,13 @@ def train(docs: DataFrame, per_class: int = 1200) -> tuple[list[str], dict[str,
     """From docs (text, lang), all of which may be learned from: languages in order, tables."""
     draw = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)).alias("draw")
     rows = docs.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", "text", draw)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CLASSES).collect()}
+    # copies of a text are one draw, here and in the sample
+    counts = {r["lang"]: r["count"] for r in rows.select("lang", F.xxhash64("text").alias("of")).distinct().groupBy("lang").count().collect()}
     if not counts:
         return [], {}
     share = docs.sparkSession.createDataFrame([(k, min(1.0, 1.2 * per_class / n)) for k, n in counts.items()], "lang string, share double")
     chosen = rows.join(F.broadcast(share), "lang").where("draw <= share").select("lang", "draw", "text")
-    sample = chosen.mapInArrow(_sampled, "lang string, draw double, window binary").toPandas().sort_values(["lang", "draw", "window"])
+    sample = chosen.mapInArrow(_sampled, "lang string, draw double, window binary").distinct().toPandas().sort_values(["lang", "draw", "window"])
     sample = sample.groupby("lang").head(per_class)
     langs = sorted(counts)
     net = Network(len(langs))
