@@ -4,6 +4,7 @@ broadcasts, Arrow batch helpers and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -126,17 +127,19 @@ class Lookup:
         return value, hit
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest
     node reachable, for each node with an edge.
 
     Alternating large-star and small-star rounds; a round is two joins whose both sides are
     exchanged (so that hubs can be split) with written tables in between, and the number of
     rounds grows with the logarithm of the longest path. `edges` has columns a and b; self
-    links are allowed, nulls are not."""
+    links are allowed, nulls are not. More than `most_rounds` rounds, where given, are an error."""
     e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    for n in itertools.count():
+        if n == most_rounds:
+            raise RuntimeError(f"components have not settled after {most_rounds} rounds")
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))

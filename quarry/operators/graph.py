@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -43,14 +44,17 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 3, decay: float
     return ranks
 
 
-def dependents(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
+def dependents(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """All nodes from which a link path leads to a start node (src depends on dst), without the
-    start nodes: breadth first, each round joins only the nodes found last."""
+    start nodes: breadth first, each round joins only the nodes found last, until none is new. More
+    than `most` rounds, where given, are an error."""
     links = edges.select("src", "dst").distinct()
     seen = found = cut(start.select("id").distinct())
-    for _ in range(most):
+    for n in itertools.count():
         found = cut(links.join(found.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"))
         if not found.limit(1).count():
             break
+        if n == most:
+            raise RuntimeError(f"nodes are still found after {most} rounds")
         seen = cut(seen.unionByName(found))
     return seen.join(start.select("id"), "id", "left_anti")
