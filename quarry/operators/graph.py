@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import itertools
-import shutil
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the cluster's checkpoint folder, so that lineage stays short and no lost
-    executor loses it; a temporary folder only where none is set."""
-    spark: SparkSession = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-    path = f"{where.rstrip('/')}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quarry.operators.tables import written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -35,12 +20,12 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 3, decay: float
     points here its rank times 1 - decay over the number of its links. Not normalised; repeated
     links count; nodes without links give nothing."""
     out = edges.groupBy("src").agg(F.count("*").alias("n_out"))
-    links = cut(edges.join(out, "src"))
+    links = written(edges.join(out, "src"))
     ranks = nodes.select("id", F.lit(1.0).alias("rank"))
     for _ in range(rounds):
         mean = ranks.agg(F.avg("rank").alias("mean"))
         gain = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * (1 - decay) / F.col("n_out")).alias("gain"))
-        ranks = cut(ranks.join(gain, "id", "left").crossJoin(F.broadcast(mean)).select("id", (F.col("mean") + F.coalesce("gain", F.lit(0.0))).alias("rank")))
+        ranks = written(ranks.join(gain, "id", "left").crossJoin(F.broadcast(mean)).select("id", (F.col("mean") + F.coalesce("gain", F.lit(0.0))).alias("rank")))
     return ranks
 
 
@@ -49,12 +34,12 @@ def dependents(edges: DataFrame, start: DataFrame, most: int | None = None) -> D
     start nodes: breadth first, each round joins only the nodes found last, until none is new. More
     than `most` rounds, where given, are an error."""
     links = edges.select("src", "dst").distinct()
-    seen = found = cut(start.select("id").distinct())
+    seen = found = written(start.select("id").distinct())
     for n in itertools.count():
-        found = cut(links.join(found.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"))
+        found = written(links.join(found.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(seen, "id", "left_anti"))
         if not found.limit(1).count():
             break
         if n == most:
             raise RuntimeError(f"nodes are still found after {most} rounds")
-        seen = cut(seen.unionByName(found))
+        seen = written(seen.unionByName(found))
     return seen.join(start.select("id"), "id", "left_anti")

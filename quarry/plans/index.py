@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import graph
+from quarry.operators.tables import written
 
 
 def lines(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -59,7 +60,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 def link_graph(files: DataFrame, imports: DataFrame) -> DataFrame:
     """files with imports, dependents (sorted arrays of names) and page_rank."""
-    edges = graph.cut(imports.select(F.col("filename").alias("src"), F.col("resolved").alias("dst")))
+    edges = written(imports.select(F.col("filename").alias("src"), F.col("resolved").alias("dst")))
     ranks = graph.page_rank(files.select(F.col("filename").alias("id")), edges)
     keyed = graph.both_ways(edges)
     arrays = keyed.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("src") == F.col("key"), F.col("dst")))).alias("imports"), F.sort_array(F.collect_list(F.when(F.col("src") != F.col("key"), F.col("src")))).alias("dependents"))
