@@ -3,11 +3,7 @@ broadcasts, Arrow batch helpers and distributed connected components."""
 
 from __future__ import annotations
 
-import atexit
 import itertools
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.tables import drop_table, settled, written
+
+__all__ = ["Lookup", "components", "drop_table", "in_fold", "keep_columns", "pieces", "renamed", "settled", "small", "table", "written"]
+
 #: Rows of a table of a few numbers that may be broadcast (some 32 MB).
 BROADCAST_ROWS = 500_000
 
@@ -23,24 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def renamed(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
     """df with the columns that aren't `own` renamed to c0, c1, ..., so that none clashes with an
     operator's own; and what selects the old names."""
@@ -127,6 +109,17 @@ class Lookup:
         return value, hit
 
 
+def _round(e: DataFrame) -> DataFrame:
+    """A large-star and a small-star step."""
+    both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    e = written(large.distinct())
+    low = written(e.groupBy("a").agg(F.min("b").alias("m")))
+    moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest
     node reachable, for each node with an edge.
@@ -135,18 +128,12 @@ def components(edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     exchanged (so that hubs can be split) with written tables in between, and the number of
     rounds grows with the logarithm of the longest path. `edges` has columns a and b; self
     links are allowed, nulls are not. More than `most_rounds` rounds, where given, are an error."""
-    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    e, seen = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     for n in itertools.count():
         if n == most_rounds:
             raise RuntimeError(f"components have not settled after {most_rounds} rounds")
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        e = written(large.distinct())
-        low = written(e.groupBy("a").agg(F.min("b").alias("m")))
-        moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before, e = e, settled(lambda e=e: _round(e))
+        drop_table(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -1,68 +1,86 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Expressions are words. Each class (toxic, ordinary) is a history of its own: a word's probability
-is its discounted count in the class, and the mass that the discount frees goes to a backoff
+is its discounted count in the class, and the mass that the discounts free goes to a backoff
 model that both classes share, Kneser-Ney continuation counts (the number of distinct words
-before it, over all training rows). A word that is rare, or whose document counts don't tell the
-classes apart (a G-squared test, and a least ratio), has the shared backoff estimate in both, so
-it says nothing; else every topic or language that is a little commoner in a class would drown
-the few words that matter. A text's score is a logistic function of the difference of its two
-log-likelihoods, divided by its number of words.
+before it, over all training rows). The discount is absolute for words whose document counts tell
+the classes apart by a G-squared test; of a word that is rare, or that both classes use alike, the
+discount is the whole count, so that both models know it by the shared backoff alone; else chance
+counts of every topic and language would drown the few words that matter. Both models are
+distributions: their probabilities sum to one. A text's score is a logistic function of the
+difference of its two log-likelihoods, divided by its number of words.
+
+Words that both models know by backoff alone have one and the same difference, that of the freed
+masses; it is the origin of the scale on which differences are spread, so scoring looks up the
+other words only. These are broadcast in blocks of `max_words` words at most; each further block is
+one more pass over the texts, so no word is left out.
 
 Counts come from every labelled training row and are summed in Spark, first a row for each pair
 of a word and the word before it, then a row for each word, so that the distinct words before are
-counted one by one (the start of a text counts as one of them). The model that is broadcast has `max_words` words at most: those with the most evidence over all rows.
+counted one by one (the start of a text counts as one of them).
 
 Defined cases: a null or empty text has a difference of 0; null ids are never trained on and not
-held out; of several labels for an id the highest counts; repeated rows are scored alike; with
-labels of one class only, or none, every text gets the share of label 1 (0.0 without labels).
-Columns of the input other than id and text are not read.
+held out; of several labels for an id the highest counts; repeated rows are scored alike, and count
+as often as they come; with labels of one class only, or none, every text gets the share of label 1
+(0.0 without labels). Columns of the input other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-DISCOUNT, LEAST_EVIDENCE, LEAST_RATIO, SPREAD = 0.75, 10.83, 1.0, 200.0
+#: LEAST_EVIDENCE: what G-squared passes by chance for one word in ten thousand; 0 discounts all alike.
+DISCOUNT, LEAST_EVIDENCE, SPREAD = 0.75, 15.13, 200.0
+#: Bytes of text whose words are found at once.
+RUN = 1 << 20
 _SEPARATE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _STEP = 0x9E3779B97F4A7C15
 _COUNTS = "key long, before long, n_toxic long, n_ordinary long, d_toxic long, d_ordinary long"
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse, as many as were needed so far."""
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd number and of its inverse."""
+    return [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x % 2**64, np.uint64)])) for x in (_STEP, pow(_STEP, -1, 2**64))]
 
-    up = down = np.ones(1, np.uint64)
 
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 20)
-            cls.up, cls.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_STEP, pow(_STEP, -1, 2**64)))
-        return cls.up, cls.down
+_UP, _DOWN = _powers(RUN + 1)
 
 
-def word_keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """A nonzero 64-bit key of each word (runs of letters and digits, in lower case) of the texts,
-    and the index of its text."""
-    parts = [b" " + (t or "").lower().encode("utf-8", "replace").translate(_SEPARATE) + b" " for t in texts]
-    edges = np.cumsum([len(p) for p in parts])
-    b = np.frombuffer(b"".join(parts), np.uint8)
+def _run_keys(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and first bytes of the words of a run that begins and ends with a blank."""
     change = np.diff((b != 32).view(np.int8))
     starts, ends = np.flatnonzero(change == 1) + 1, np.flatnonzero(change == -1) + 1
-    up, down = _Powers.of(len(b) + 1)
+    up, down = (_UP, _DOWN) if len(b) <= RUN else _powers(len(b) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
     key = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
     key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (key ^ (key >> np.uint64(32))) | np.uint64(1), np.searchsorted(edges, starts, side="right")
+    return (key ^ (key >> np.uint64(32))) | np.uint64(1), starts
+
+
+def word_keys(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """A nonzero 64-bit key of each word (runs of letters and digits, in lower case) of the texts,
+    and the index of its text. Long texts are read in runs that end between words."""
+    parts = [b" " + (t or "").lower().encode("utf-8", "replace").translate(_SEPARATE) + b" " for t in texts]
+    edges, data = np.cumsum([len(p) for p in parts]), b"".join(parts)
+    keys, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at + 1 < len(data):
+        end = len(data)
+        if end - at > RUN:
+            end = data.rfind(b" ", at + 1, at + RUN) + 1 or data.find(b" ", at + RUN) + 1
+        key, starts = _run_keys(np.frombuffer(data, np.uint8, end - at, at))
+        keys.append(key)
+        places.append(starts + at)
+        at = end - 1  # the blank between two runs ends one and begins the other
+    return np.concatenate(keys), np.searchsorted(edges, np.concatenate(places), side="right")
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,16 +110,17 @@ def word_counts(learned: DataFrame) -> DataFrame:
 
 
 def differences(model: common.Lookup, texts: list) -> np.ndarray:
-    """The length-normalised difference of log-likelihoods of each text."""
+    """The length-normalised difference of log-likelihoods of each text, less that of a text that
+    both models know by backoff alone, as far as the words of `model` make it."""
     key, doc = word_keys(texts)
     value, _ = model.get(key)
     n = np.bincount(doc, minlength=len(texts))
     return np.bincount(doc, value, len(texts)) / np.maximum(n, 1)
 
 
-def spread(difference: np.ndarray) -> np.ndarray:
+def spread(difference: str) -> Column:
     """The difference on a scale on which a few words in a long text still count."""
-    return np.sign(difference) * np.log1p(np.abs(difference) * SPREAD)
+    return F.signum(difference) * F.log1p(F.abs(difference) * SPREAD)
 
 
 def _calibrate(rows: list) -> tuple[float, float]:
@@ -122,86 +141,79 @@ def _calibrate(rows: list) -> tuple[float, float]:
 
 
 class Model:
-    """What scoring needs: the broadcast table and the calibration."""
+    """What scoring needs: broadcast blocks of the table and the calibration."""
 
-    def __init__(self, tables: Any, slope: float, offset: float) -> None:
-        self.tables, self.slope, self.offset = tables, slope, offset
+    def __init__(self, blocks: list[Broadcast], slope: float = 0.0, offset: float = 0.0) -> None:
+        self.blocks, self.slope, self.offset = blocks, slope, offset
 
+    def score(self) -> Column:
+        return 1 / (1 + F.exp(-(self.slope * spread("_difference") + self.offset)))
 
-def _judged(batches: Iterator[pa.RecordBatch], tables: Any) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """Runs of rows with their differences, as `spread` scales them."""
-    model = common.Lookup(*tables.value) if tables is not None else None
-    for batch, texts in common.pieces(batches, "text"):
-        yield batch, spread(differences(model, texts)) if model else np.zeros(len(texts))
 
+def with_difference(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+    """docs (with a column text) and _difference."""
+    out = docs.withColumn("_difference", F.lit(0.0))
+    names, schema = docs.columns, out.schema
+    for number, block in enumerate(blocks):
 
-def _differences_of(batches: Iterator[pa.RecordBatch], tables: Any, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch, d in _judged(batches, tables):
-        yield common.keep_columns(batch, keep, {"difference": pa.array(d)})
+        def run(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+            model = common.Lookup(*block.value)
+            for batch, texts in common.pieces(batches, "text"):
+                d = batch.column("_difference").to_numpy() + differences(model, texts)
+                yield common.keep_columns(batch, names, {"_difference": pa.array(d)})
 
+        out = (common.written(out) if number else out).mapInArrow(run, schema)
+    return out
 
-def word_ratios(counts: DataFrame, discount: float = DISCOUNT, least_evidence: float = LEAST_EVIDENCE, least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """(key, evidence, ratio) of the words whose counts differ by class; counts: as summed, and
-    documents by class in d_toxic and d_ordinary, distinct words before in words_before. Empty if a class has no words."""
-    freed = [F.sum(F.least(F.col(c), F.lit(discount))).alias(f"freed_{c}") for c in ("n_toxic", "n_ordinary")]
-    t = counts.agg(F.sum("n_toxic").alias("nt"), F.sum("n_ordinary").alias("no"), F.max("docs_toxic").alias("dt"), F.max("docs_ordinary").alias("do"), F.sum("words_before").alias("wb"), *freed).first()
-    if not t["nt"] or not t["no"]:
-        return counts.select("key", F.lit(0.0).alias("evidence"), F.lit(0.0).alias("ratio")).limit(0)
-    back = F.col("words_before") / t["wb"]
-    p = [F.greatest(F.col(c) - discount, F.lit(0.0)) / n + t[f"freed_{c}"] / n * back for c, n in (("n_toxic", t["nt"]), ("n_ordinary", t["no"]))]
-    both, docs = F.col("d_toxic") + F.col("d_ordinary"), t["dt"] + t["do"]
+
+def log_ratios(counts: DataFrame, docs_toxic: int, docs_ordinary: int, discount: float = DISCOUNT, least_evidence: float = LEAST_EVIDENCE) -> tuple[DataFrame, float]:
+    """Of the words that a class knows by more than backoff (key, ratio): by how much their log
+    ratio of probabilities exceeds that of all other words, which is returned with them. counts as
+    `word_counts` gives them. No words if a class has none."""
+    both, docs = F.col("d_toxic") + F.col("d_ordinary"), docs_toxic + docs_ordinary
 
     def part(c: str, n: int) -> Column:
         return F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * docs / (both * n))).otherwise(0.0)
 
-    evidence = 2 * (part("d_toxic", t["dt"]) + part("d_ordinary", t["do"]))
-    out = counts.select("key", evidence.alias("evidence"), F.log(p[0] / p[1]).alias("ratio"))
-    return out.where((F.col("evidence") >= least_evidence) & (F.abs("ratio") >= least_ratio))
+    told = 2 * (part("d_toxic", docs_toxic) + part("d_ordinary", docs_ordinary)) >= least_evidence
+    classes = ("n_toxic", "n_ordinary")
+    judged = counts.withColumns({"told": told} | {f"off_{c}": F.when(told, F.least(F.col(c), F.lit(discount))).otherwise(F.col(c)) for c in classes})
+    t = judged.agg(F.sum("words_before").alias("wb"), *(F.sum(x + c).alias(x + c) for c in classes for x in ("", "off_"))).first()
+    if not all(t[c] for c in classes):
+        return counts.select("key", F.lit(0.0).alias("ratio")).limit(0), 0.0
+    freed = [t[f"off_{c}"] / t[c] for c in classes]
+    back = F.col("words_before") / t["wb"]
+    p = [(F.col(c) - F.col(f"off_{c}")) / t[c] + f * back for c, f in zip(classes, freed, strict=True)]
+    base = math.log(freed[0] / freed[1])
+    return judged.where("told").select("key", (F.log(p[0] / p[1]) - base).alias("ratio")), base
 
 
-def train(labelled: DataFrame, max_words: int = 1 << 20) -> Model:
+def train(labelled: DataFrame, max_words: int = 1 << 20, **options: float) -> Model:
     """labelled: doc_id, text, toxic (0 or 1, not null). Three quarters of the rows are counted,
     the rest calibrate; both are all rows of their part."""
     spark = labelled.sparkSession
     part = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % 4
     learned = labelled.where(part != 0).select("text", F.col("toxic").cast("int").alias("toxic"))
     docs = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
-    counts = common.written(word_counts(learned))
-    counts = counts.withColumns({"docs_toxic": F.lit(docs.get(1, 0)), "docs_ordinary": F.lit(docs.get(0, 0))})
-    ratios = word_ratios(counts)
-    # evidence in powers of 1.1: at most a few hundred bins, whatever the input
-    level = F.floor(F.log(1.1, "evidence")).cast("int")
-    bins = sorted(((r["level"], r["count"]) for r in ratios.groupBy(level.alias("level")).count().collect()), reverse=True)
-    total, least = 0, -1
-    for at, n in bins:
-        if total + n > max_words:
-            least = at + 1
-            break
-        total += n
-    kept = ratios.where(level >= least).select("key", "ratio").toArrow()
-    keys, ratio = (kept.column(c).to_numpy() for c in ("key", "ratio"))
-    tables = spark.sparkContext.broadcast((keys.view(np.uint64), ratio.astype(np.float32))) if len(keys) else None
-    scored = labelled.where(part == 0).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(lambda it: _differences_of(it, tables, ["toxic"]), "toxic int, difference double")
-    held = scored.groupBy(F.round("difference", 2).alias("x"), "toxic").count().collect()
-    if tables is None or len({r["toxic"] for r in held}) < 2:
-        shares = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-        p = min(max(shares or 0.0, 0.0), 1.0)
-        return Model(tables, 0.0 if tables is None else 1.0, float(np.log(max(p, 1e-12) / max(1 - p, 1e-12))))
-    return Model(tables, *_calibrate([(r["x"], r["toxic"], r["count"]) for r in held]))
+    blocks = []
+    if docs.get(0) and docs.get(1):
+        ratios = common.settled(lambda: log_ratios(common.written(word_counts(learned)), docs[1], docs[0], **options)[0])
+        n = -(-ratios.count() // max_words)
+        for i in range(n):
+            kept = ratios.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toArrow()
+            blocks.append(spark.sparkContext.broadcast((kept.column("key").to_numpy().view(np.uint64), kept.column("ratio").to_numpy().astype(np.float32))))
+    scored = with_difference(labelled.where(part == 0).select("text", F.col("toxic").cast("int").alias("toxic")), blocks)
+    held = scored.groupBy(F.round(spread("_difference"), 2).alias("x"), "toxic").count().collect()
+    if not blocks or len({r["toxic"] for r in held}) < 2:
+        share = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+        return Model(blocks, 1.0 if blocks else 0.0, math.log(max(share, 1e-12) / max(1 - share, 1e-12)))
+    return Model(blocks, *_calibrate([(r["x"], r["toxic"], r["count"]) for r in held]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """docs (doc_id, text and any others) with score and predicted; the text isn't returned."""
-    tables, slope, offset = model.tables, model.slope, model.offset
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _differences_of(batches, tables, ["doc_id"]):
-            z = np.clip(slope * b.column("difference").to_numpy() + offset, -700, 700)
-            p = 1 / (1 + np.exp(-z))
-            yield common.keep_columns(b, ["doc_id"], {"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))})
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
+    """doc_id, score and predicted of docs (doc_id, text)."""
+    out = with_difference(docs.select("doc_id", "text"), model.blocks).select("doc_id", model.score().alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,15 +233,8 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max
     """docs without those predicted toxic; all their columns. Each row is judged by itself, so
     no join brings scores back."""
     model = train(labelled_documents(docs, labels), max_words)
-    tables, slope, offset = model.tables, model.slope, model.offset
     inner, back = common.renamed(docs, "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, d in _judged(batches, tables):
-            p = 1 / (1 + np.exp(-np.clip(slope * d + offset, -700, 700)))
-            yield b.filter(pa.array(p < threshold))
-
-    return inner.mapInArrow(run, inner.schema).select(*back)
+    return with_difference(inner, model.blocks).where(model.score() < threshold).select(*back)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
