@@ -3,10 +3,10 @@
 Expressions are words. Each class (toxic, ordinary) is a history of its own: a word's probability
 is its discounted count in the class, and the mass that the discounts free goes to a backoff
 model that both classes share, Kneser-Ney continuation counts (the number of distinct words
-before it, over all training rows). The discount is absolute for words whose document counts tell
-the classes apart by a G-squared test; of a word that is rare, or that both classes use alike, the
-discount is the whole count, so that both models know it by the shared backoff alone; else chance
-counts of every topic and language would drown the few words that matter. Both models are
+before it, over all training texts). The discount is absolute for words whose document counts tell
+the classes apart by a G-squared test and a least ratio; of a word that is rare, or that both
+classes use alike, the discount is the whole count, so that both models know it by the shared
+backoff alone; else chance counts of every topic and language would drown the few words that matter. Both models are
 distributions: their probabilities sum to one. A text's score is a logistic function of the
 difference of its two log-likelihoods, divided by its number of words.
 
@@ -15,13 +15,12 @@ masses; it is the origin of the scale on which differences are spread, so scorin
 other words only. These are broadcast in blocks of `max_words` words at most; each further block is
 one more pass over the texts, so no word is left out.
 
-Counts come from every labelled training row and are summed in Spark, first a row for each pair
+Counts come from every distinct labelled training text and are summed in Spark, first a row for each pair
 of a word and the word before it, then a row for each word, so that the distinct words before are
 counted one by one (the start of a text counts as one of them).
 
 Defined cases: a null or empty text has a difference of 0; null ids are never trained on and not
-held out; of several labels for an id the highest counts; repeated rows are scored alike, and count
-as often as they come; with labels of one class only, or none, every text gets the share of label 1
+held out; of several labels for an id the highest counts; repeated rows are scored alike; with labels of one class only, or none, every text gets the share of label 1
 (0.0 without labels). Columns of the input other than id and text are not read.
 """
 
@@ -38,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: LEAST_EVIDENCE: what G-squared passes by chance for one word in ten thousand; 0 discounts all alike.
-DISCOUNT, LEAST_EVIDENCE, SPREAD = 0.75, 15.13, 200.0
+#: LEAST_EVIDENCE: what G-squared passes by chance for one word in ten thousand; with both at 0 all words have the same discount.
+DISCOUNT, LEAST_EVIDENCE, LEAST_RATIO, SPREAD = 0.75, 15.13, 1.0, 200.0
 #: Bytes of text whose words are found at once.
 RUN = 1 << 20
 _SEPARATE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -166,7 +165,7 @@ def with_difference(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
     return out
 
 
-def log_ratios(counts: DataFrame, docs_toxic: int, docs_ordinary: int, discount: float = DISCOUNT, least_evidence: float = LEAST_EVIDENCE) -> tuple[DataFrame, float]:
+def log_ratios(counts: DataFrame, docs_toxic: int, docs_ordinary: int, discount: float = DISCOUNT, least_evidence: float = LEAST_EVIDENCE, least_ratio: float = LEAST_RATIO) -> tuple[DataFrame, float]:
     """Of the words that a class knows by more than backoff (key, ratio): by how much their log
     ratio of probabilities exceeds that of all other words, which is returned with them. counts as
     `word_counts` gives them. No words if a class has none."""
@@ -175,7 +174,9 @@ def log_ratios(counts: DataFrame, docs_toxic: int, docs_ordinary: int, discount:
     def part(c: str, n: int) -> Column:
         return F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * docs / (both * n))).otherwise(0.0)
 
-    told = 2 * (part("d_toxic", docs_toxic) + part("d_ordinary", docs_ordinary)) >= least_evidence
+    # of documents with the word, with half a one more in each class
+    apart = F.abs(F.log((F.col("d_toxic") + 0.5) / (docs_toxic + 1)) - F.log((F.col("d_ordinary") + 0.5) / (docs_ordinary + 1)))
+    told = (2 * (part("d_toxic", docs_toxic) + part("d_ordinary", docs_ordinary)) >= least_evidence) & (apart >= least_ratio)
     classes = ("n_toxic", "n_ordinary")
     judged = counts.withColumns({"told": told} | {f"off_{c}": F.when(told, F.least(F.col(c), F.lit(discount))).otherwise(F.col(c)) for c in classes})
     t = judged.agg(F.sum("words_before").alias("wb"), *(F.sum(x + c).alias(x + c) for c in classes for x in ("", "off_"))).first()
@@ -189,23 +190,24 @@ def log_ratios(counts: DataFrame, docs_toxic: int, docs_ordinary: int, discount:
 
 
 def train(labelled: DataFrame, max_words: int = 1 << 20, **options: float) -> Model:
-    """labelled: doc_id, text, toxic (0 or 1, not null). Three quarters of the rows are counted,
-    the rest calibrate; both are all rows of their part."""
+    """labelled: text, toxic (0 or 1), neither null. Each text counts once in a class, else groups of
+    copies would pass for evidence. Seven of eight texts are counted, the rest calibrate."""
     spark = labelled.sparkSession
-    part = F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % 4
-    learned = labelled.where(part != 0).select("text", F.col("toxic").cast("int").alias("toxic"))
-    docs = {r["toxic"]: r["count"] for r in learned.groupBy("toxic").count().collect()}
+    texts = common.written(labelled.select("text", F.col("toxic").cast("int").alias("toxic")).distinct())
+    part = F.pmod(F.xxhash64("text"), F.lit(8))
+    docs = {r["toxic"]: r["count"] for r in texts.where(part != 0).groupBy("toxic").count().collect()}
     blocks = []
     if docs.get(0) and docs.get(1):
-        ratios = common.settled(lambda: log_ratios(common.written(word_counts(learned)), docs[1], docs[0], **options)[0])
+        ratios = common.settled(lambda: log_ratios(common.written(word_counts(texts.where(part != 0))), docs[1], docs[0], **options)[0])
         n = -(-ratios.count() // max_words)
         for i in range(n):
             kept = ratios.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i).toArrow()
             blocks.append(spark.sparkContext.broadcast((kept.column("key").to_numpy().view(np.uint64), kept.column("ratio").to_numpy().astype(np.float32))))
-    scored = with_difference(labelled.where(part == 0).select("text", F.col("toxic").cast("int").alias("toxic")), blocks)
+    scored = with_difference(texts.where(part == 0), blocks)
     held = scored.groupBy(F.round(spread("_difference"), 2).alias("x"), "toxic").count().collect()
+    share = texts.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
+    common.drop_table(texts)
     if not blocks or len({r["toxic"] for r in held}) < 2:
-        share = labelled.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
         return Model(blocks, 1.0 if blocks else 0.0, math.log(max(share, 1e-12) / max(1 - share, 1e-12)))
     return Model(blocks, *_calibrate([(r["x"], r["toxic"], r["count"]) for r in held]))
 

@@ -52,7 +52,7 @@ def test_differences_are_those_of_two_distributions(spark: SparkSession, least:
     p, freed = plain(texts, toxic, least)
     assert all(abs(sum(v[c] for v in p.values()) - 1) < 1e-9 for c in (0, 1))
     counts = toxicity.word_counts(spark.createDataFrame(list(zip(texts, toxic, strict=True)), "text string, toxic int"))
-    ratios, base = toxicity.log_ratios(counts, sum(toxic), len(toxic) - sum(toxic), least_evidence=least)
+    ratios, base = toxicity.log_ratios(counts, sum(toxic), len(toxic) - sum(toxic), least_evidence=least, least_ratio=0.0)
     assert base == pytest.approx(math.log(freed[1] / freed[0]))
     got = {r.key: r["ratio"] for r in ratios.collect()}
     assert 1 <= len(got) <= len(p)
