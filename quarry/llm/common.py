@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,19 +43,18 @@ def in_fold(doc_id: str | Column = "doc_id", folds: int = 3, fold: int = 1) -> C
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Runs of rows whose texts have about `most` characters together, with those texts;
-    a longer text comes alone."""
+    """Runs of rows whose texts have about `most` bytes together, with those texts, which become
+    Python's a run at a time; a longer text comes alone."""
     for batch in batches:
-        texts = batch.column(text).to_pylist()
+        column = batch.column(text)
         start = size = 0
-        for i, t in enumerate(texts):
-            n = len(t) if t else 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
             if i > start and size + n > most:
-                yield batch.slice(start, i - start), texts[start:i]
+                yield batch.slice(start, i - start), column.slice(start, i - start).to_pylist()
                 start, size = i, 0
             size += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        if start < batch.num_rows:
+            yield batch.slice(start), column.slice(start).to_pylist()
 
 
 def keep_columns(batch: pa.RecordBatch, names: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -7,9 +7,9 @@ position; a block at the end of patterns has shift 0 and a bucket, by its hash,
 first blocks and words, and direct comparison confirms an occurrence. A text is split once; most
 positions are skipped unread.
 
-The items are compiled on the driver in blocks of at most `block_words` words, so that what is
-broadcast is bounded whatever the size of the benchmark; each further block is one more pass over
-the documents, whose marks are carried in columns.
+The items are compiled on the driver in blocks of at most `block_words` words (some 600 bytes each),
+so that what is broadcast is bounded whatever the size of the benchmark or of one item; each further
+block is one more pass over the documents, whose marks are carried in columns.
 
 Defined cases: null has no words (n_words 0, nothing hit); items without words match nothing; an
 item that occurs twice is listed once for each distinct id; null item ids are left out of the list
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Words of items compiled at once: some 600 bytes each, so 60 MB on the driver and in a worker.
+BLOCK_WORDS = 100_000
 #: A-Z to lower case, digits and a-z and all beyond ASCII as they are, the rest to blanks.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -71,10 +73,9 @@ class Searcher:
 
 
 def compiled(items: list[tuple], size: int) -> list[Searcher]:
-    """items: (id, text)."""
+    """items: (id, words)."""
     by: dict[int, dict[tuple, set]] = {}
-    for item, text in items:
-        w = words(text)
+    for item, w in items:
         m = min(size, len(w))
         for i in range(len(w) - m + 1 if m else 0):
             by.setdefault(m, {}).setdefault(tuple(w[i : i + m]), set()).add(item)
@@ -102,26 +103,29 @@ def joined(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple]]:
-    """The items, as they stream to the driver, in bounded blocks. One item is never cut."""
+def _blocks(benchmark: DataFrame, size: int, block_words: int) -> Iterator[list[tuple]]:
+    """The items, as they stream to the driver, in blocks of at most `block_words` words; a longer
+    item is cut, each cut once more with the words that windows across it need."""
     held, n = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
-        size = len(text) // 2 + 1
-        if held and n + size > block_words:
-            yield held
-            held, n = [], 0
-        held.append((item, text))
-        n += size
+        w = words(text)
+        for at in range(0, max(1, len(w) - size + 1), block_words):
+            part = w[at : at + block_words + size - 1]
+            if held and n + len(part) > block_words:
+                yield held
+                held, n = [], 0
+            held.append((item, part))
+            n += len(part)
     yield held
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = 4_000_000) -> DataFrame:
+def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All columns of docs, with _words (long), _spans (array of long), _items (array of string)."""
     spark, names = docs.sparkSession, docs.columns
     extra = {"_words": pa.int64(), "_spans": pa.list_(pa.int64()), "_items": pa.list_(pa.string())}
     out = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
     schema = out.schema
-    for number, block in enumerate(_blocks(benchmark, block_words)):
+    for number, block in enumerate(_blocks(benchmark, size, block_words)):
         shared = spark.sparkContext.broadcast(compiled(block, size))
 
         def search(batches: Iterator[pa.RecordBatch], shared: Any = shared) -> Iterator[pa.RecordBatch]:

@@ -10,25 +10,26 @@ pairs of bytes, so a window costs a few gathers for each byte.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no training rows
 everything is `und`; null languages aren't learned; equal probabilities go to the first language
-in order; repeated rows are judged alike; a text of any length is read whole. Other columns are
+in order; repeated rows are judged alike, and copies of a text are one draw of the sample; a text of any length is read whole. Other columns are
 not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW, WIDTHS, FILTERS, DIM = 192, (2, 3, 4), 16, 12
-_LETTER = re.compile(r"[^\W\d_]")
+#: Of training texts too: a letter is what Unicode says is one.
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Network:

@@ -13,8 +13,9 @@ Tokens are written once, with each row's place inside its partition; places acro
 come from a window over (partition, queue) sums.
 
 Defined cases: null text is empty and has its end token alone; a null source is a queue of its
-own; repeated rows are packed as often as they come; an empty table gives no pieces. Sources
-beyond `max_queues` share queues by hash. Other columns are not read.
+own; repeated rows are packed as often as they come; an empty table gives no pieces; ids of any type,
+and repeated or null ones, are carried as they are. Sources beyond `max_queues` share queues by hash.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ class WordIds:
     kept up to a bound. Texts with what may be a special token, or with separators that only
     Python splits at, go to the tokenizer whole."""
 
-    def __init__(self, tokenizer_json: str, most_words: int = 600_000) -> None:
+    def __init__(self, tokenizer_json: str, most_words: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.t, self.most = Tokenizer.from_str(tokenizer_json), most_words
@@ -230,11 +231,11 @@ def cuts(queue: int, first: int, last: int, plan: list[dict]) -> Iterator[tuple[
                 yield lo, hi, p["rest"][queue] + lo - start
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], plan: Any, window: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], plan: Any, window: int) -> Iterator[pa.RecordBatch]:
     schedule = plan.value
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    types = [id_type] + [pa.int64()] * 6
     for batch in batches:
+        types = [batch.schema.field("doc_id").type] + [pa.int64()] * 6
         rows: list[list] = [[] for _ in names]
         for doc, q, ids, n, first in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "queue", "ids", "n", "first")), strict=True):
             wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
@@ -258,11 +259,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], plan: Any, window: int, id_type:
 def pack(docs: DataFrame, tokenizer_json: str, weights: dict[str | None, float] | None = None, window: int = WINDOW, max_queues: int = MAX_QUEUES) -> DataFrame:
     """Pieces of the documents' ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. weights: target proportions by source; by default the proportions of the tokens, with
-    which all queues end together. `max_queues` bounds what the schedule is computed from."""
+    which all queues end together. `max_queues` bounds what the schedule is computed from: of more
+    sources the half with the highest weights have queues of their own, and the others share the
+    rest by hash, each queue with the weights of its sources together."""
     spark = docs.sparkSession
     sources = [r[0] for r in docs.select("source").distinct().limit(max_queues + 1).collect()]
-    own = sorted(sources, key=lambda s: (s is not None, s)) if len(sources) <= max_queues else sorted((weights or {}), key=lambda s: (s is not None, s))[: max_queues // 2]
-    others = F.pmod(F.xxhash64("source"), F.lit(max(1, max_queues - len(own)))).cast("int") + len(own)
+    order = lambda s: (s is not None, s)
+    named = weights or {}
+    own = sorted(sources, key=order) if len(sources) <= max_queues else sorted(named, key=lambda s: (-named[s], order(s)))[: max_queues // 2]
+    share = max(1, max_queues - len(own))
+    others = F.pmod(F.xxhash64("source"), F.lit(share)).cast("int") + len(own)
     names = spark.createDataFrame([(s, i) for i, s in enumerate(own)], "own string, number int")
     queued = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source").join(F.broadcast(names), F.col("source").eqNullSafe(F.col("own")), "left").select("doc_id", "text", F.coalesce("number", others).alias("queue"))
     tokenizer = spark.sparkContext.broadcast(tokenizer_json)
@@ -272,12 +278,16 @@ def pack(docs: DataFrame, tokenizer_json: str, weights: dict[str | None, float]
     before = F.coalesce(F.sum("sum_n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = common.written(sums.select("part", "queue", before.alias("before"), "sum_n"))
     totals = {r["queue"]: r["n"] for r in starts.groupBy("queue").agg(F.sum("sum_n").alias("n")).collect()}
-    target = {q: float(n) for q, n in totals.items()} if weights is None else {i: float(weights.get(s, 0.0)) for i, s in enumerate(own)}
+    target = {q: float(n) for q, n in totals.items()}
+    if weights is not None:
+        rest = [(s, float(w)) for s, w in named.items() if s not in set(own)]
+        hashed = spark.createDataFrame(rest, "source string, weight double").join(docs.select("source").distinct(), "source", "left_semi") if rest and len(sources) > max_queues else None
+        target = {i: float(named.get(s, 0.0)) for i, s in enumerate(own)}
+        target |= {r["queue"]: r["weight"] for r in hashed.groupBy(others.alias("queue")).agg(F.sum("weight").alias("weight")).collect()} if hashed is not None else {}
     plan = phases(totals, target, window)
     shared = spark.sparkContext.broadcast(plan)
     placed = encoded.join(common.small(starts.select("part", "queue", "before")), ["part", "queue"]).select("doc_id", "queue", "ids", "n", (F.col("place") + F.col("before")).alias("first"))
-    arrow_id = pa.int64() if id_field.simpleString() == "bigint" else (pa.int32() if id_field.simpleString() == "int" else pa.string())
-    return placed.mapInArrow(lambda it: _pieces(it, shared, window, arrow_id), f"doc_id {id_field.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(lambda it: _pieces(it, shared, window), f"doc_id {id_field.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def tokenizer_text(path: str | None = None) -> str:

@@ -4,7 +4,8 @@ Found values that pass their check (a card's Luhn digit, an address's octets, a
 telephone number's length) are replaced by a keyed permutation of their own format: digits stay
 digits, letters letters, separators stand; a card keeps a valid check digit, an address valid
 octets, a date is a date. The permutation depends on the key, the kind and the value alone, so
-equal values stay linked across documents and different ones stay different.
+equal values stay linked across documents and different ones stay different. Every pattern begins where
+no such value may already have begun, or is bounded, so a text takes time linear in its length.
 
 Defined cases: a null text stays null; texts of any length are searched whole; values that fail
 their check stay as they are, but a long run of digits that fails Luhn is still an account
@@ -29,7 +30,7 @@ _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 200 * 365 + 48
 _LOWER, _HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 #: What may be a value, by kind.
 _FOUND = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z]))"
     r"|(?P<date>(?<![\d.\-/])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\d\-/]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
@@ -159,10 +160,12 @@ def _ssn(p: Permuter, text: str) -> str | None:
 
 
 def _email(p: Permuter, text: str) -> str | None:
-    """Letters and digits of the local part, each run of them in its own format; the domain
-    stands. Capitals count as their letters."""
+    """Letters and digits of the local part (64 signs at most, as mail allows), each run of them in
+    its own format; the domain stands. Capitals count as their letters."""
     local, domain = text.split("@", 1)
     kinds = [c for c in local if c.isascii() and c.isalnum()]
+    if not kinds:
+        return None
     x, bound = 0, 1
     for c in kinds:
         size = 10 if c.isdigit() else 26
@@ -205,9 +208,11 @@ def pseudonymised(p: Permuter, text: str) -> tuple[str, list[str]]:
     return "".join([*out, text[done:]]) if out else text, kinds
 
 
-def pseudonyms(docs: DataFrame, key: str = "quarry") -> DataFrame:
-    """docs with text replaced; also n_pii and pii_kinds (sorted), unless docs has such columns,
-    which are then replaced. The key belongs in a secret store in production."""
+def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
+    """docs with text replaced; also n_pii and pii_kinds (sorted); columns of docs with these names
+    are replaced. Who knows the key can undo the pseudonyms: it belongs in a secret store."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     names = [c for c in docs.columns if c not in ("text", "n_pii", "pii_kinds")]
     schema = docs.select(*names, "text", F.lit(0).cast("long").alias("n_pii"), F.array().cast("array<string>").alias("pii_kinds")).schema
     for field in schema:
@@ -224,4 +229,7 @@ def pseudonyms(docs: DataFrame, key: str = "quarry") -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The key is the session's spark.quarry.pii.key; without one, a published one that hides
+    nothing, which is enough for invented tables alone."""
+    key = spark.conf.get("spark.quarry.pii.key", None) or "published key for invented data"
+    return pseudonyms(common.table(spark, sf_dir, "documents").select("doc_id", "text"), key)

@@ -241,7 +241,7 @@ def test_near_copies_equal_brute_force(spark: SparkSession, crowded: int) -> Non
 def test_pseudonyms_keep_formats_and_links(spark: SparkSession) -> None:
     text = "Call (555) 123-4567 or a.b9@mail.org on 2024-02-29 and 29.02.2024; card 4111 1111 1111 1111, 10.0.0.1, SSN 123-45-6789."
     given = docs(spark, [text, "again 2024-02-29 and 10.0.0.1", "2024-02-30 300.1.1.1 v1.2.3", *ODD])
-    rows = {r.doc_id: r for r in pii.pseudonyms(given).collect()}
+    rows = {r.doc_id: r for r in pii.pseudonyms(given, "k").collect()}
     new = rows[0].text
     assert rows[0].pii_kinds == ["card", "date", "email", "ip", "phone", "ssn"] and rows[0].n_pii == 7
     assert re.sub("[0-9]", "9", new).split()[:3] == ["Call", "(999)", "999-9999"] and new.endswith(".") and len(new.split()) == len(text.split())
@@ -252,7 +252,7 @@ def test_pseudonyms_keep_formats_and_links(spark: SparkSession) -> None:
     ip = re.search(r"\d+\.\d+\.\d+\.\d+", rows[1].text)[0]
     assert ip in new and all(int(o) < 256 for o in ip.split("."))
     assert rows[2].text == "2024-02-30 300.1.1.1 v1.2.3" and [rows[3 + i].text for i in range(len(ODD))] == ODD
-    assert pii.pseudonyms(given.limit(0)).count() == 0
+    assert pii.pseudonyms(given.limit(0), "k").count() == 0
 
 
 def test_permutation_is_one() -> None:
