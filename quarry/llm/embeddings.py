@@ -7,9 +7,11 @@ one block by a minimal vector of the lattice, those nearest to it. What meets in
 compared by sign sketches, whose distance tells apart all but a few in a million of the
 pairs far from the limit, then by the cosine in double precision.
 
-Equal vectors are one row until the end, with their number, so copies are never paired. At the
-default parameters a pair at cosine 0.95 meets with a chance of 0.997, a closer one more
-likely; no bucket has a limit.
+Equal vectors are one row until the end, with their number, so copies are never paired. The number
+of blocks follows from the number of different vectors, so that unlike vectors that meet stay about
+as many for each vector however large the table is (a block lets one in 50 pass); the number of
+tables follows from the blocks, so that a pair at cosine 0.95 meets with a chance of 0.997, a closer
+one more likely. No bucket has a limit.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite components links
 with nothing and is its own component; a null id takes no part in links and has a null component;
@@ -19,6 +21,7 @@ rows are vectors of their own; other columns, as the label, are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, product
 
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TABLES, BLOCKS, PROBES, SCALE, SKETCH = 6, 2, 8, 0.45, 4
+PROBES, SCALE, SKETCH = 8, 0.45, 4
+#: Chance by simulation that a pair at cosine 0.95 meets in a table of two blocks, and by what each
+#: further block multiplies it; share of unlike vectors that a block lets pass; how many may meet.
+MEET, FURTHER, PASS, UNLIKE = 0.70, 0.57, 1 / 50, 200
 _PAIRS = [[(i, s), (j, t)] for i, j in combinations(range(8), 2) for s, t in product((1, -1), repeat=2)]
 #: The 240 minimal vectors of E8: two whole steps, or all halves with an even number of plus signs.
 MINIMAL = np.array([[dict(p).get(k, 0) for k in range(8)] for p in _PAIRS] + [h for h in product((0.5, -0.5), repeat=8) if h.count(0.5) % 2 == 0], float)
@@ -130,14 +136,23 @@ def sketch_limit(least: float, bits: int = 64 * SKETCH) -> int:
     return int(np.ceil(bits * p + 5 * np.sqrt(bits * p * (1 - p))))
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES) -> DataFrame:
-    """vec_id, n_links, component_id, kept. Larger corpora want more `blocks` (some 10 bits of
-    selectivity each) and tables."""
+def blocks_for(n: int) -> int:
+    return max(2, math.ceil(math.log(max(n, 1) / UNLIKE) / -math.log(PASS)))
+
+
+def tables_for(blocks: int, missed: float = 0.002) -> int:
+    return math.ceil(math.log(missed) / math.log(1 - MEET * FURTHER ** (blocks - 2)))
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, blocks: int | None = None, probes: int = PROBES) -> DataFrame:
+    """vec_id, n_links, component_id, kept; `blocks` by the number of vectors where not given."""
     good = F.col("vec_id").isNotNull() & F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", "embedding", F.coalesce(good, F.lit(False)).alias("good"))
     named = rows.select("vec_id", "good", "embedding", F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2"))
     classes = common.written(named.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.any_value("embedding").alias("vector")))
     id_type = vectors.schema["vec_id"].dataType.simpleString()
+    blocks = blocks or blocks_for(classes.count())
+    tables = tables_for(blocks)
     keyed = common.written(classes.select("id", "vector").mapInArrow(lambda it: _keys(it, tables, blocks, probes), f"id {id_type}, dims int, table int, sketch array<long>, keys array<long>"))
     words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
     own = keyed.select(F.col("id").alias("a"), "dims", "table", F.col("keys")[0].alias("key"), *words)
