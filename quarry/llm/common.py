@@ -55,6 +55,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) ->
             size += n
         if start < batch.num_rows:
             yield batch.slice(start), column.slice(start).to_pylist()
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def keep_columns(batch: pa.RecordBatch, names: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:

@@ -70,7 +70,7 @@ class WordIds:
 
     def _powers(self, n: int) -> None:
         if len(self.power) <= n:
-            n = max(n, 1 << 20) + 1
+            n = max(n, 1 << 18) + 1
             self.power, self.inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x % 2**64, np.uint64)])) for x in (_STEP, pow(_STEP, -1, 2**64)))
 
     def _forget(self) -> None:
@@ -87,8 +87,10 @@ class WordIds:
             w = words[i]
             ids[i] = [x.id for x in model.tokenize(w.decode() if w.isascii() else "".join([_BYTE_SIGN[b] for b in w]))]
         other = np.flatnonzero(~letters)
-        for i, x in zip(other, self.t.encode_batch_fast([words[i].decode() for i in other], add_special_tokens=False), strict=True):
-            ids[i] = x.ids
+        for at in range(0, len(other), 2000):  # an encoding is far larger than its ids
+            some = other[at : at + 2000]
+            for i, x in zip(some, self.t.encode_batch_fast([words[i].decode() for i in some], add_special_tokens=False), strict=True):
+                ids[i] = x.ids
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
@@ -142,16 +144,12 @@ class WordIds:
         return out
 
 
-_made: dict[int, WordIds] = {}
-
-
 def _encode(batches: Iterator[pa.RecordBatch], tokenizer: Any) -> Iterator[pa.RecordBatch]:
     """(doc_id, queue, text) to ids with the end token, as little-endian bytes of the narrowest
     width, and the row's place in its queue inside this partition."""
-    text = tokenizer.value
-    ids_of = _made.get(hash(text)) or _made.setdefault(hash(text), WordIds(text))
+    ids_of = WordIds(tokenizer.value)  # goes with the task: a worker that kept it would hold it for good
     part, sent = TaskContext.get().partitionId(), {}
-    for batch, texts in common.pieces(batches, "text"):
+    for batch, texts in common.pieces(batches, "text", 1 << 18):
         ids = [np.append(x, np.uint32(END_ID)) for x in ids_of(texts)]
         place = []
         for q, x in zip(batch.column("queue").to_pylist(), ids, strict=True):

@@ -40,7 +40,7 @@ from . import common
 #: LEAST_EVIDENCE: what G-squared passes by chance for one word in ten thousand; with both at 0 all words have the same discount.
 DISCOUNT, LEAST_EVIDENCE, LEAST_RATIO, SPREAD = 0.75, 15.13, 1.0, 200.0
 #: Bytes of text whose words are found at once.
-RUN = 1 << 20
+RUN = 1 << 18
 _SEPARATE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _STEP = 0x9E3779B97F4A7C15
 _COUNTS = "key long, before long, n_toxic long, n_ordinary long, d_toxic long, d_ordinary long"
@@ -190,10 +190,10 @@ def log_ratios(counts: DataFrame, docs_toxic: int, docs_ordinary: int, discount:
 
 
 def train(labelled: DataFrame, max_words: int = 1 << 20, **options: float) -> Model:
-    """labelled: text, toxic (0 or 1), neither null. Each text counts once in a class, else groups of
-    copies would pass for evidence. Seven of eight texts are counted, the rest calibrate."""
+    """labelled: text, toxic (0 or 1), neither null. Seven of eight texts are counted, the rest
+    calibrate."""
     spark = labelled.sparkSession
-    texts = common.written(labelled.select("text", F.col("toxic").cast("int").alias("toxic")).distinct())
+    texts = labelled.select("text", F.col("toxic").cast("int").alias("toxic"))
     part = F.pmod(F.xxhash64("text"), F.lit(8))
     docs = {r["toxic"]: r["count"] for r in texts.where(part != 0).groupBy("toxic").count().collect()}
     blocks = []
@@ -206,7 +206,6 @@ def train(labelled: DataFrame, max_words: int = 1 << 20, **options: float) -> Mo
     scored = with_difference(texts.where(part == 0), blocks)
     held = scored.groupBy(F.round(spread("_difference"), 2).alias("x"), "toxic").count().collect()
     share = texts.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    common.drop_table(texts)
     if not blocks or len({r["toxic"] for r in held}) < 2:
         return Model(blocks, 1.0 if blocks else 0.0, math.log(max(share, 1e-12) / max(1 - share, 1e-12)))
     return Model(blocks, *_calibrate([(r["x"], r["toxic"], r["count"]) for r in held]))
@@ -219,10 +218,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows: labelled documents that are not held out."""
+    """Training rows (text, toxic) of labelled documents that are not held out. A text counts once in
+    a class, else groups of copies would pass for evidence: of its documents the smallest id is
+    taken, which numbers alone decide, so no text is shuffled for it."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~common.in_fold())
-    return rows.join(common.small(marks.where(~common.in_fold())), "doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("of")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~common.in_fold())
+    known = rows.select("doc_id", "of").join(common.small(marks.where(~common.in_fold())), "doc_id")
+    firsts = common.written(known.groupBy("of", "toxic").agg(F.min("doc_id").alias("doc_id")))
+    return rows.join(common.small(firsts), ["doc_id", "of"]).select("text", "toxic")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_words: int = 1 << 20) -> DataFrame:
