@@ -39,6 +39,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a scan can't be split that far (a file of one row group), for work
+    that costs more than a shuffle of its rows; a table of enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(build: Callable[[], DataFrame]) -> DataFrame:
     """build() as a written table; all tables that were written on the way to it are dropped."""
     before = set(_LIVE)
