@@ -12,16 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.tables import drop_table, settled, written
+from quarry.operators.tables import drop_table, settled, spread, written
 
-__all__ = ["Lookup", "components", "drop_table", "in_fold", "keep_columns", "pieces", "renamed", "settled", "small", "table", "written"]
+__all__ = ["Lookup", "components", "drop_table", "in_fold", "keep_columns", "pieces", "renamed", "settled", "small", "spread", "table", "written"]
 
 #: Rows of a table of a few numbers that may be broadcast (some 32 MB).
 BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def renamed(df: DataFrame, *own: str) -> tuple[DataFrame, list[Column]]:
