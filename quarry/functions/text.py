@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File types by suffix.
-FILE_TYPES = {".rs": "RUST", ".py": "PYTHON", ".js": "JAVASCRIPT", ".mjs": "JAVASCRIPT", ".ts": "TYPESCRIPT", ".proto": "PROTO", ".html": "HTML", ".md": "MARKDOWN", "BUILD": "BAZEL", "WORKSPACE": "BAZEL", ".bus": "BUS", ".css": "CSS", ".json": "JSON", ".sh": "SHELL", ".c": "C", ".h": "C", ".cc": "CPP", ".go": "GO", ".java": "JAVA"}
+#: File types by the end of the name.
+FILE_TYPES = {".rs": "RUST", ".html": "HTML", ".htm": "HTML", ".proto": "PROTO", ".js": "JAVASCRIPT", ".ts": "JAVASCRIPT", ".mjs": "JAVASCRIPT", "BUILD": "BAZEL", ".py": "PYTHON", ".h": "C", ".c": "C", ".hpp": "CPP", ".cpp": "CPP"}
 #: Lines, in a result, of a snippet; characters of one.
 SNIPPET_LINES, SNIPPET_WIDTH = 7, 144
 
@@ -30,14 +30,43 @@ def tokens(text: Column, least: int = 4, stop: list[str] | None = None) -> Colum
 
 
 def file_type(name: Column) -> Column:
-    out = F.lit("OTHER")
+    out = F.when(name == "WORKSPACE", "BAZEL").otherwise("OTHER")
     for suffix, kind in reversed(FILE_TYPES.items()):
         out = F.when(name.endswith(suffix), kind).otherwise(out)
     return out
 
 
+# Names of test files, by the language of the file.
+TEST_NAMES = {"RUST": r"tests?\.rs$", "PYTHON": r"__tests__|/tests/|/__snapshots__|/test_|\.ambr$", "JAVASCRIPT": r"\.jest\.js$|-test\.js$|-jest\.js$|\.test\.js$|\.test\.ts$|\.snap$|\.ambr$|/__tests__|/__snapshots__|_test/"}
+OTHER_TESTS = r"__tests__|/tests/|__snapshots__"
+
+
 def is_test(name: Column) -> Column:
-    return F.lower(name).contains("test")
+    kind, out = file_type(name), name.rlike(OTHER_TESTS)
+    for language, pattern in TEST_NAMES.items():
+        out = F.when(kind == language, name.rlike(pattern)).otherwise(out)
+    return out
+
+
+def file_id(name: Column) -> Column:
+    """A 64-bit id as text."""
+    return F.xxhash64(name).cast("string")
+
+
+# Words that aren't indexed, and the least bytes of one that is, by language.
+STOP_WORDS = {
+    "RUST": ["let", "mut", "for", "in", "while", "if", "self", "ref", "pub", "extern", "return"],
+    "PYTHON": ["class", "def", "super", "import", "in", "is", "not", "or", "None", "from", "for", "self", "return", "if", "elif", "raise"],
+    "PROTO": ["message", "string", "enum", "int", "bool", "int64", "int32", "uint64", "uint32", "repeated", "syntax", "rpc", "service", "returns"],
+}
+
+
+def keywords_of(kind: Column, text: Column) -> Column:
+    """Words of a file of a type that are indexed."""
+    out = tokens(text)
+    for language, stop in STOP_WORDS.items():
+        out = F.when(kind == language, tokens(text, 3, stop)).otherwise(out)
+    return out
 
 
 def is_ugly(content: Column) -> Column:
@@ -95,34 +124,13 @@ def query_argument(query: Column, name: str) -> Column:
 
 def python_imports(content: Column) -> Column:
     """Dotted imports as file paths."""
-    found = F.regexp_extract_all(content, F.lit(r"(?m)^\s*(?:from|import)\s+([A-Za-z0-9_.]+)"), F.lit(1))
-    return F.transform(found, lambda x: F.concat(F.replace(x, F.lit("."), F.lit("/")), F.lit(".py")))
+    found = F.regexp_extract_all(content, F.lit(r"(?m)^\s*(?:from\s+(\S+)\s+import|import\s+(\S+))"), F.lit(0))
+    names = F.transform(found, lambda x: F.regexp_extract(x, r"^\s*(?:from|import)\s+(\S+)", 1))
+    return F.transform(names, lambda x: F.concat(F.replace(x, F.lit("."), F.lit("/")), F.lit(".py")))
 
 
 def script_imports(content: Column) -> Column:
-    """Imported or required names, with the files that each may mean."""
-    found = F.regexp_extract_all(content, F.lit(r"""(?:from|import|require\()\s*["']([^"']+)["']"""), F.lit(1))
-    bare = F.transform(found, lambda x: F.regexp_replace(x, r"^\./", ""))
-    return F.flatten(F.transform(bare, lambda x: F.array(x, *(F.concat(x, F.lit(e)) for e in (".js", ".mjs", ".ts", "/index.js")))))
-
-
-#: What begins a definition, by language: pattern (group 1 is the name) and kind.
-DEFINITIONS = {
-    "RUST": [(r"(?:^|\s)fn\s+([A-Za-z0-9_]+)", "FUNCTION"), (r"(?:^|\s)(?:struct|enum|union)\s+([A-Za-z0-9_]+)", "STRUCTURE"), (r"(?:^|\s)impl(?:<[^>]*>)?\s+([A-Za-z0-9_]+)", "STRUCTURE"), (r"(?:^|\s)trait\s+([A-Za-z0-9_]+)", "TRAIT"), (r"(?:^|\s)(?:let(?:\s+mut)?|const|static)\s+([A-Za-z0-9_]+)", "VARIABLE")],
-    "PYTHON": [(r"^\s*(?:async\s+)?def\s+([A-Za-z0-9_]+)", "FUNCTION"), (r"^\s*class\s+([A-Za-z0-9_]+)", "STRUCTURE"), (r"^([A-Za-z0-9_]+)\s*=[^=]", "VARIABLE")],
-    "JAVASCRIPT": [(r"(?:^|\s)function\s+([A-Za-z0-9_]+)", "FUNCTION"), (r"(?:^|\s)class\s+([A-Za-z0-9_]+)", "STRUCTURE"), (r"(?:^|\s)(?:const|let|var)\s+([A-Za-z0-9_]+)", "VARIABLE")],
-    "PROTO": [(r"^\s*(?:message|enum)\s+([A-Za-z0-9_]+)", "STRUCTURE"), (r"^\s*service\s+([A-Za-z0-9_]+)", "TRAIT"), (r"^\s*rpc\s+([A-Za-z0-9_]+)", "FUNCTION")],
-}
-
-
-def line_definitions(kind: Column, line: Column) -> Column:
-    """(symbol, symbol_type) found in a line of a file type."""
-
-    def named(pattern: str, kind: str) -> Column:
-        return F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda x: F.struct(x.alias("symbol"), F.lit(kind).alias("symbol_type")))
-
-    out = F.array().cast("array<struct<symbol:string,symbol_type:string>>")
-    for language, patterns in DEFINITIONS.items():
-        found = F.flatten(F.array(*(named(*p) for p in patterns)))
-        out = F.when(kind == language, found).otherwise(out)
-    return out
+    """Imported files; a name without one of the endings stands for each file that it may mean."""
+    found = F.regexp_extract_all(content, F.lit(r"(?m)^\s*import\s(?:[^']*?)from\s+'([^']+)'"), F.lit(1))
+    each = lambda x: F.when(x.rlike(r"\.(m?js|ts)$"), F.array(x)).otherwise(F.array(*(F.concat(x, F.lit(e)) for e in (".js", ".mjs", ".ts", "/index.js"))))
+    return F.flatten(F.transform(found, each))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,6 +78,54 @@ def three_way(base: DataFrame, remote: DataFrame, local: DataFrame, key: str) ->
     return out.withColumn("state", state)
 
 
+def snapshot(versions: DataFrame, at: int) -> DataFrame:
+    """(path, data) of every file as of an index; versions: row, col, ts, data, deleted."""
+    newest = versions.where(F.col("ts") <= at).groupBy("row", "col").agg(F.max_by(F.struct("data", "deleted"), "ts").alias("v"))
+    return newest.where("not v.deleted").select(F.concat_ws("/", "row", "col").alias("path"), "v.data")
+
+
+def changed_files(files: DataFrame, at: int, ignored: list[str]) -> DataFrame:
+    """A change's files (filename, index, reverted) as of a snapshot: the newest of each name, without
+    reverted ones and names that match an ignored pattern."""
+    newest = files.where(F.col("index") <= at).groupBy("filename").agg(F.max_by("reverted", "index").alias("reverted"))
+    return reduce(lambda d, p: d.where(~F.col("filename").rlike(p)), ignored, newest.where("not reverted"))
+
+
+def blobs_by_path(paths: DataFrame, files: DataFrame, blobs: DataFrame, strict: bool = False) -> DataFrame:
+    """(path, sha, data): each path's hash, then what is stored under it. A hash without a blob is
+    skipped; a path without a file is an error if strict, else skipped."""
+    if strict and paths.join(files, "path", "left_anti").limit(1).count():
+        raise KeyError("there is a path without a file")
+    return paths.distinct().join(files, "path").join(blobs, "sha").select("path", "sha", "data")
+
+
+def published(configs: DataFrame, name: str, order: str) -> DataFrame:
+    """configs with ascending versions from 1 for each name."""
+    return configs.withColumn("version", F.row_number().over(Window.partitionBy(name).orderBy(order)))
+
+
+def registry(configs: DataFrame, name: str, order: str) -> DataFrame:
+    """The newest version of each name: the number of its versions, and what came last."""
+    rest = [c for c in configs.columns if c not in (name, order)]
+    newest = configs.groupBy(name).agg(F.count("*").cast("int").alias("version"), F.max_by(F.struct(*rest), order).alias("v"))
+    return newest.select(name, "version", "v.*")
+
+
+def moved(rows: DataFrame, updates: DataFrame) -> DataFrame:
+    """rows (status, id and more) after updates (id, status, at): each row is under its newest status
+    and under no other; updates of unknown ids do nothing."""
+    last = updates.groupBy("id").agg(F.max_by("status", "at").alias("_new"))
+    return rows.join(last, "id", "left").select(F.coalesce("_new", "status").alias("status"), *(c for c in rows.columns if c != "status"))
+
+
+def change_list(changes: DataFrame, status: str | None = None, prefix: str = "", starting_from: int | None = None, limit: int = 1000) -> DataFrame:
+    """A page of changes (id, status, key) in order of id."""
+    out = changes.where(F.col("status") == status) if status else changes
+    out = out.where(F.col("key").startswith(prefix)) if prefix else out
+    out = out.where(F.col("id") >= starting_from) if starting_from is not None else out
+    return out.orderBy("id").limit(limit)
+
+
 #: Bits of the table of a longest common subsequence that are held at once (32 MB).
 TABLE_BITS = 1 << 28
 
@@ -149,7 +200,8 @@ def patience(a: list, b: list) -> list[tuple[str, object]]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     steps: list[tuple[str, object]] = [("=", v) for v in a[:head]]
-    once = {v for v in x if x.count(v) == 1 and y.count(v) == 1} if x and y else set()
+    nx, ny = Counter(x), Counter(y)
+    once = {v for v, n in nx.items() if n == 1 and ny[v] == 1}
     ux, uy = [i for i, v in enumerate(x) if v in once], [j for j, v in enumerate(y) if v in once]
     pairs = [(ux[i], uy[j]) for i, j in common_subsequence([x[i] for i in ux], [y[j] for j in uy])]
     if pairs:
@@ -164,6 +216,38 @@ def patience(a: list, b: list) -> list[tuple[str, object]]:
     return steps + [("=", v) for v in a[len(a) - tail :]]
 
 
+def byte_ranges(old: bytes, new: bytes) -> list[tuple[int, int, str, bytes]]:
+    """(start, end, kind, data) by which bytes of old are added to, modified or removed, in order;
+    line by line for texts, whole for anything else."""
+    try:
+        a, b = (re.findall(r"[^\n]*\n|[^\n]+", x.decode()) for x in (old, new))
+    except UnicodeDecodeError:
+        return [(0, len(old), "modified", new)]
+    out, at, start, data, gone = [], 0, 0, [], 0
+    for op, line in [*patience(a, b), ("=", "")]:
+        if op == "+":
+            data.append(str(line).encode())
+        elif op == "-":
+            gone += len(str(line).encode())
+        else:
+            if data or gone:
+                out.append((start, start + gone, "modified" if data and gone else "added" if data else "removed", b"".join(data)))
+            at = start + gone + len(str(line).encode())
+            start, data, gone = at, [], 0
+    return out
+
+
+def patched(old: bytes, ranges: list) -> bytes:
+    """The new side of byte ranges; ranges beyond the old side are an error."""
+    out, at = [], 0
+    for start, end, _, data in ranges:
+        if start < at or max(start, end) > len(old):
+            raise ValueError("a range lies outside of the text")
+        out += [old[at:start], bytes(data)]
+        at = end
+    return b"".join([*out, old[at:]])
+
+
 def applied(steps: list[tuple[str, object]]) -> list:
     """The new side of a diff."""
     return [v for op, v in steps if op != "-"]
@@ -219,3 +303,29 @@ def merge_texts(rows: DataFrame, keep: list[str]) -> DataFrame:
             yield out
 
     return rows.select(*keep, "base", "remote", "local").mapInPandas(run, f"{kept}, merged string, n_conflicts long")
+
+
+_RANGES = "array<struct<start: long, end: long, kind: string, data: binary>>"
+
+
+def byte_diffs(pairs: DataFrame, old: str, new: str, keep: list[str]) -> DataFrame:
+    """keep and ranges (`byte_ranges`) of two text columns; null is empty."""
+    kept = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[keep].copy()
+            out["ranges"] = [[dict(zip(("start", "end", "kind", "data"), r, strict=True)) for r in byte_ranges((x or "").encode(), (y or "").encode())] for x, y in zip(pdf[old], pdf[new], strict=True)]
+            yield out
+
+    return pairs.select(*dict.fromkeys([*keep, old, new])).mapInPandas(run, f"{kept}, ranges {_RANGES}")
+
+
+def apply_byte_diffs(diffs: DataFrame, old: str, keep: list[str]) -> DataFrame:
+    """keep and data (binary): the old text with its ranges applied. Slices of bytes and a fold; no
+    Python."""
+    whole = F.encode(F.coalesce(old, F.lit("")), "utf-8")
+    part = lambda a, b: F.substring(whole, (a + 1).cast("int"), (b - a).cast("int"))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.encode(F.lit(""), "utf-8").alias("data"))
+    folded = F.aggregate("ranges", first, lambda s, r: F.struct(r["end"].alias("at"), F.concat(s["data"], part(s["at"], r["start"]), r["data"]).alias("data")))
+    return diffs.select(*keep, whole.alias("_whole"), folded.alias("_f")).select(*keep, F.concat("_f.data", F.substring("_whole", (F.col("_f.at") + 1).cast("int"), F.octet_length("_whole"))).alias("data"))

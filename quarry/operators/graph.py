@@ -43,3 +43,10 @@ def dependents(edges: DataFrame, start: DataFrame, most: int | None = None) -> D
             raise RuntimeError(f"nodes are still found after {most} rounds")
         seen = written(seen.unionByName(found))
     return seen.join(start.select("id"), "id", "left_anti")
+
+
+def file_edges(sources: DataFrame, needs: DataFrame) -> DataFrame:
+    """Distinct (src, dst) of files: those of a target (target, file) on those of each target that
+    it needs (target, needs)."""
+    a = needs.join(sources.select("target", F.col("file").alias("src")), "target")
+    return a.join(sources.select(F.col("target").alias("needs"), F.col("file").alias("dst")), "needs").where("src <> dst").select("src", "dst").distinct()

@@ -75,3 +75,11 @@ def time_buckets(points: DataFrame, n: int, how: str = "sum", rate: bool = False
     value = F.col("value") if how == "average" else F.coalesce("value", F.lit(0.0))
     value = value / (width / 1e6) if rate else value
     return every.join(dealt, "bucket", "left").select("bucket", ((F.col("first") + (F.col("bucket") + 0.5) * width) / 1e6).alias("mid"), value.alias("value"))
+
+
+#: Fixed value: rows that a log query gives at most.
+MOST_ROWS = 1_000_000
+
+
+def capped(events: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    return events.limit(most)

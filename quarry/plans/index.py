@@ -4,12 +4,17 @@ Postings are made distinct inside each file before anything is shuffled."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import symbols
 from quarry.functions import text as T
 from quarry.operators import graph
-from quarry.operators.tables import written
+from quarry.operators.tables import shared_dir, spread, written
 
 
 def lines(files: DataFrame, key: str, content: str) -> DataFrame:
@@ -20,25 +25,45 @@ def lines(files: DataFrame, key: str, content: str) -> DataFrame:
 def trigram_postings(files: DataFrame, key: str = "filename", content: str = "content") -> DataFrame:
     """(trigram, key), once for each file: three characters of a line, never across lines."""
     grams = F.array_distinct(F.flatten(F.transform(F.split(content, "\n"), T.trigrams)))
-    return files.select(F.explode(grams).alias("trigram"), key)
+    return spread(files.select(key, content)).select(F.explode(grams).alias("trigram"), key)
 
 
 def keyword_counts(files: DataFrame, key: str = "filename", content: str = "content", least: int = 4) -> DataFrame:
     """(key, token, occurrences) of each file."""
-    return files.select(key, F.explode(T.tokens(F.col(content), least)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("occurrences"))
+    return spread(files.select(key, content)).select(key, F.explode(T.tokens(F.col(content), least)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("occurrences"))
 
 
 def keywords(files: DataFrame, content: str = "content", least: int = 4) -> DataFrame:
     """(normalized, keyword, occurrences): spellings below their normal form, of over 4 bytes."""
-    words = files.select(F.explode(T.tokens(F.col(content), least)).alias("keyword")).withColumn("normalized", T.normalized(F.col("keyword")))
+    words = spread(files.select(content)).select(F.explode(T.tokens(F.col(content), least)).alias("keyword")).withColumn("normalized", T.normalized(F.col("keyword")))
     return words.where(F.octet_length("normalized") > 4).groupBy("normalized", "keyword").agg(F.count("*").alias("occurrences"))
 
 
 def definitions(files: DataFrame) -> DataFrame:
-    """(filename, line_number, symbol, symbol_type, normalized) of all definitions."""
-    typed = files.select("filename", T.file_type(F.col("filename")).alias("kind"), F.posexplode(F.split("content", "\n")).alias("line_number", "line"))
-    found = typed.select("filename", "line_number", F.explode(T.line_definitions(F.col("kind"), F.col("line"))).alias("d"))
-    return found.select("filename", "line_number", "d.symbol", "d.symbol_type", T.normalized(F.col("d.symbol")).alias("normalized"))
+    """(filename, symbol, symbol_type, line_number, end_line_number, normalized) of all definitions."""
+    found = symbols.file_definitions(spread(files.select("filename", T.file_type(F.col("filename")).alias("file_type"), "content")))
+    return found.withColumn("normalized", T.normalized(F.col("symbol")))
+
+
+def write_postings(postings: DataFrame, path: str, key: str = "filename") -> None:
+    """Postings in ranges of trigrams, each sorted: a look-up reads the row groups that may have its
+    trigrams."""
+    postings.repartitionByRange("trigram", key).sortWithinPartitions("trigram", key).write.mode("overwrite").parquet(path)
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored_postings(files: DataFrame, key: str, content: str) -> DataFrame:
+    """The trigram index of texts in lower case as a table, written at its first use in a session and
+    read from then on. Files that were changed since are another table."""
+    spark = files.sparkSession
+    of = (spark.sparkContext.applicationId, key, *sorted(files.inputFiles()))
+    if of not in _STORED:
+        _STORED[of] = f"{shared_dir(spark).rstrip('/')}/quarry-index-{uuid.uuid4().hex}"
+        write_postings(trigram_postings(spread(files).withColumn(content, F.lower(content)), key, content), _STORED[of], key)
+        atexit.register(shutil.rmtree, _STORED[of].removeprefix("file:"), ignore_errors=True)
+    return spark.read.parquet(_STORED[of])
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -69,24 +94,32 @@ def link_graph(files: DataFrame, imports: DataFrame) -> DataFrame:
     return out.withColumns({"imports": F.coalesce("imports", empty), "dependents": F.coalesce("dependents", empty)}).withColumnRenamed("rank", "page_rank")
 
 
-def enclosing(symbols: DataFrame) -> DataFrame:
-    """symbols (filename, line_number, symbol, symbol_type) with the structure that was last
-    begun before each; a window over one file's symbols."""
-    w = Window.partitionBy("filename").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    return symbols.withColumn("inside", F.last(F.when(F.col("symbol_type") == "STRUCTURE", F.col("symbol")), ignorenulls=True).over(w))
+def enclosing(found: DataFrame) -> DataFrame:
+    """Definitions with the structure that has an end and was last begun before each (inside, and its
+    until); a window over one file's definitions."""
+    w = Window.partitionBy("filename").orderBy("line_number").rangeBetween(Window.unboundedPreceding, -1)
+    begun = F.last(F.when((F.col("symbol_type") == "STRUCTURE") & (F.col("end_line_number") > 0), F.struct(F.col("symbol").alias("inside"), F.col("end_line_number").alias("until"))), ignorenulls=True).over(w)
+    return found.withColumn("_s", begun).select(*found.columns, "_s.inside", "_s.until")
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """(name, keywords, kind, filename, line_number): structures and traits by their names, functions
+    by theirs or, inside of a structure, as `Structure::function`; functions of files in which no
+    structure begins before them are none."""
+    s = enclosing(found).where("symbol_type <> 'VARIABLE' and (symbol_type <> 'FUNCTION' or inside is not null)")
+    within = (F.col("symbol_type") == "FUNCTION") & (F.col("line_number") < F.col("until"))
+    name = F.when(within, F.concat_ws("::", "inside", "symbol")).otherwise(F.col("symbol"))
+    return s.select(name.alias("name"), F.when(within, F.array(name, "symbol")).otherwise(F.array("symbol")).alias("keywords"), F.col("symbol_type").alias("kind"), "filename", "line_number")
 
 
-def entities(symbols: DataFrame) -> DataFrame:
-    """(name, kind, filename, line_number): structures and traits by their names, functions as
-    `Structure::function` where a structure begins before."""
-    s = enclosing(symbols).where("symbol_type <> 'VARIABLE' and (symbol_type <> 'FUNCTION' or inside is not null)")
-    name = F.when(F.col("symbol_type") == "FUNCTION", F.concat_ws("::", "inside", "symbol")).otherwise(F.col("symbol"))
-    return s.select(name.alias("name"), F.col("symbol_type").alias("kind"), "filename", "line_number")
+def target_entities(targets: DataFrame) -> DataFrame:
+    """(name, keywords, kind, filename, line_number, files, dependencies) of build targets."""
+    return targets.select(F.col("canonical_name").alias("name"), F.array("canonical_name", "name").alias("keywords"), F.lit("TARGET").alias("kind"), "filename", "line_number", "files", "dependencies")
 
 
 def build_index(files: DataFrame, imports: DataFrame) -> dict[str, DataFrame]:
     """All tables of the index of files (filename, content) and their imports (filename, target)."""
     flagged = files.withColumns({"file_type": T.file_type(F.col("filename")), "is_test": T.is_test(F.col("filename")), "is_ugly": T.is_ugly(F.col("content"))})
     resolved = resolve_imports(imports, files)
-    symbols = definitions(files)
-    return {"files": link_graph(flagged, resolved), "trigrams": trigram_postings(files), "keywords": keywords(files), "definitions": symbols, "entities": entities(symbols)}
+    defined = definitions(files)
+    return {"files": link_graph(flagged, resolved), "trigrams": trigram_postings(files.withColumn("content", F.lower("content"))), "keywords": keywords(files), "definitions": defined, "entities": entities(defined)}

@@ -149,9 +149,9 @@ def set02_intersection(t) -> DataFrame:
     return t("customer").select(F.col("c_custkey").alias("k")).intersect(t("orders").select(F.col("o_custkey").alias("k")))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT o_custkey % 50 AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0")
 def set03_difference(t) -> DataFrame:
-    return t("customer").select(F.col("c_custkey").alias("k")).exceptAll(t("orders").select(F.col("o_custkey").alias("k"))).distinct()
+    return t("orders").select((F.col("o_custkey") % 50).alias("k")).subtract(t("customer").where("c_custkey % 3 = 0").select("c_custkey"))
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS place FROM orders")

@@ -19,7 +19,7 @@ PHRASE = "the and"
 def search_flagship(t) -> DataFrame:
     """Trigram index, candidates, exact verification, ranking."""
     docs = t("documents")
-    return S.phrase_search(docs, I.trigram_postings(docs, "doc_id", "text"), PHRASE, "doc_id", "text")
+    return S.phrase_search(docs, I.stored_postings(docs, "doc_id", "text"), PHRASE, "doc_id", "text")
 
 
 @query("SELECT p_partkey, translate(lower(p_name), '_-', '') AS name FROM part")
@@ -75,11 +75,6 @@ def str12_snippet(t) -> DataFrame:
     return t("documents").select("doc_id", F.array_join(T.snippet(F.col("text"), F.lit(0)), "\n").alias("snippet"))
 
 
-@query("""WITH h AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)', 1) AS title FROM pages) SELECT page_id, length(title) AS n FROM h WHERE title <> ''""")
-def str05_titles(t) -> DataFrame:
-    return t("pages").select("page_id", F.length(F.regexp_extract("html", "<h1>([^<]*)", 1)).cast("long").alias("n")).where("n > 0")
-
-
 _EDGES = "e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem), v AS (SELECT 's' || s_suppkey AS id FROM supplier UNION ALL SELECT 'p' || p_partkey FROM part), w AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM e), r0 AS (SELECT id, 1.0::DOUBLE AS r FROM v)"
 _ROUND = ", r{1} AS (SELECT a.id, (SELECT avg(r) FROM r{0}) + coalesce(g, 0) AS r FROM r{0} a LEFT JOIN (SELECT dst AS id, sum(r * 0.85 / n) AS g FROM w JOIN r{0} ON id = src GROUP BY 1) b ON a.id = b.id)"
 
@@ -128,7 +123,7 @@ def join08_suffix_resolve(t) -> DataFrame:
 def join14_trigram_and(t) -> DataFrame:
     """Trigram candidates of two words, then verified."""
     docs = t("documents")
-    postings = I.trigram_postings(docs, "doc_id", "text")
+    postings = I.stored_postings(docs, "doc_id", "text")
     both = S.trigram_candidates(postings, "tion", "doc_id").intersect(S.trigram_candidates(postings, "heat", "doc_id"))
     return docs.join(both, "doc_id", "left_semi").where(F.contains("text", F.lit("tion")) & F.contains("text", F.lit("heat"))).select("doc_id")
 
@@ -138,13 +133,6 @@ def topk02_suggestions(t) -> DataFrame:
     return S.suggestions(I.keywords(t("documents"), "text"), "th")
 
 
-@query("""SELECT p_name AS filename, round((CASE WHEN contains(p_name, 'a') THEN 10 + 100 * (1.0 / length(p_name)) + 10 * 1 + 50 * CAST(instr(p_name, 'a') AS DOUBLE) / length(p_name) ELSE 0 END + 10 + least(p_size, 10) + 10 * log2(p_retailprice) + CASE WHEN p_size = 1 THEN 40 ELSE 0 END + least(p_size * 3, 100) + 10 + 5)
-/ CASE WHEN p_size % 2 = 0 THEN 1 ELSE 2 END - 0.25 * length(p_name), 4) AS score, p_partkey FROM part""")
-def qry06_score(t) -> DataFrame:
-    p = t("part").select("p_partkey", F.col("p_name").alias("filename"), F.array("p_size").alias("occurrences"), F.contains("p_name", F.lit("a")).alias("name_match"), (1.0 / F.length("p_name")).alias("coverage"), F.lit(1).alias("n_matches"), F.instr("p_name", "a").alias("position"), F.lit(False).alias("whole_query"), F.col("p_retailprice").alias("page_rank"), (F.col("p_size") == 1).alias("exact"), (F.col("p_size") * 3).alias("definition_score"), F.lit(1).alias("n_complete"), F.lit(1).alias("n_border"), (F.col("p_size") % 2 == 0).alias("border_full"))
-    return S.score(p).select("p_partkey", "filename", F.round("score", 4).alias("score"))
-
-
 @query("""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS x FROM documents), s AS (SELECT doc_id, line FROM l WHERE contains(x, 'the')),
 c AS (SELECT doc_id, line, count(*) OVER (PARTITION BY doc_id ORDER BY line RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS n FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, line) AS k FROM c) SELECT doc_id, CAST(line AS INTEGER) AS line, n FROM r WHERE k = 1""")
 def win02_densest_window(t) -> DataFrame:

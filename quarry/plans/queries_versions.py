@@ -153,11 +153,6 @@ def ver08_latest_changes(t) -> DataFrame:
     return t("orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderkey")).limit(20)
 
 
-@query("SELECT c_mktsegment AS status, count(*) AS n FROM customer GROUP BY 1")
-def ver12_by_status(t) -> DataFrame:
-    return t("customer").groupBy(F.col("c_mktsegment").alias("status")).agg(F.count("*").alias("n"))
-
-
 @query()
 def arr03_patience_diff(t) -> DataFrame:
     c = t("conversations")

@@ -1,44 +1,11 @@
-"""Ranked search over the index: parse, candidates, verification, score, snippets, facets."""
+"""Phrase search over stored trigrams, facets, suggestions and dense windows."""
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import text as T
-
-EXPANDED, RETURNED, SUGGESTED = 100, 25, 10
-_PART = re.compile(r'"([^"]*)"|(\S+)')
-
-
-class Query(NamedTuple):
-    terms: list[str]
-    definitions: list[str]
-    languages: list[str]
-    prefixes: list[str]
-
-
-def parse(text: str) -> Query:
-    """Words and quoted phrases; def:, in:/lang: and f: words narrow by definition, language and
-    the beginning of the file name."""
-    found: dict[str, list[str]] = {"": [], "def": [], "lang": [], "f": []}
-    for phrase, word in _PART.findall(text):
-        kind, colon, rest = word.partition(":")
-        kind = "lang" if kind == "in" else kind
-        if colon and rest and kind in found:
-            found[kind].append(rest)
-        elif phrase or word:
-            found[""].append(phrase or word)
-    return Query(found[""], found["def"], found["lang"], found["f"])
-
-
-def matching_lines(content: Column, term: str) -> Column:
-    """Whether the text has the term in some letter case."""
-    return F.contains(F.lower(content), F.lit(term.lower()))
+RETURNED, SUGGESTED = 25, 10
 
 
 def occurrences(content: Column, term: str) -> Column:
@@ -48,7 +15,8 @@ def occurrences(content: Column, term: str) -> Column:
 
 
 def trigram_candidates(postings: DataFrame, term: str, key: str) -> DataFrame:
-    """Keys that have all trigrams of a term (a term of fewer than 3 characters has none)."""
+    """Keys that may have a term: all trigrams of its lower case (with fewer than 3 characters, all keys)."""
+    term = term.lower()
     grams = sorted({term[i : i + 3] for i in range(len(term) - 2)})
     hits = postings.where(F.col("trigram").isin(grams)) if grams else postings
     return hits.groupBy(key).agg(F.count_distinct("trigram").alias("n")).where(F.col("n") >= len(grams)).select(key)
@@ -62,77 +30,6 @@ def phrase_search(docs: DataFrame, postings: DataFrame, phrase: str, key: str, c
     return found.select(key, n.alias("occurrences"), (10 + F.least(n, F.lit(10))).alias("score")).orderBy(F.desc("score"), key).limit(limit)
 
 
-def definite_mask(definite: list[Column], possible: list[Column]) -> Column:
-    """Bits of the terms that a candidate has, by either way."""
-    bits = [F.when(d | p, F.lit(1 << i)).otherwise(F.lit(0)) for i, (d, p) in enumerate(zip(definite, possible, strict=True))]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0))
-
-
-#: Score of a definition by its kind.
-KIND_WEIGHTS = {"VARIABLE": 5, "FUNCTION": 40, "STRUCTURE": 80, "TRAIT": 40}
-
-
-def kind_weight(kind: Column) -> Column:
-    return F.coalesce(reduce(lambda a, kv: F.when(kind == kv[0], kv[1]).otherwise(a), KIND_WEIGHTS.items(), F.lit(0)), F.lit(0))
-
-
-def score(candidates: DataFrame) -> DataFrame:
-    """candidates with score, of the columns occurrences (array, by term), filename, name_match
-    (bool), coverage, n_matches, position, whole_query (bool), n_terms, page_rank, exact (bool),
-    definition_score, n_complete, n_border, border_full (bool). The order of steps matters: what is
-    halved is what came before."""
-    name = F.length("filename")
-    s = F.aggregate("occurrences", F.lit(0.0), lambda a, n: a + F.when(n > 0, 10 + F.least(n, F.lit(10))).otherwise(0).cast("double"))
-    s += F.when(F.col("name_match"), 10 + 100 * F.col("coverage") + 10 * F.col("n_matches") + 50 * F.col("position") / name).otherwise(0.0)
-    s += F.when(F.col("whole_query"), 20 * F.col("n_matches")).otherwise(0)
-    s += F.when(F.col("page_rank") > 0, 10 * F.log2("page_rank")).otherwise(0.0)
-    s += F.when(F.col("exact"), 40).otherwise(0)
-    s = F.when(F.contains("filename", F.lit("/migrations/")), s / 2).otherwise(s)
-    s = F.when(F.startswith("filename", F.lit("third_party")), s / 3).otherwise(s)
-    s += F.least(F.col("definition_score"), F.lit(100)) + 10 * F.col("n_complete") + 5 * F.col("n_border")
-    s = F.when(~F.col("border_full"), s / 2).otherwise(s)
-    return candidates.withColumn("score", s - 0.25 * name)
-
-
-def second_pass(candidates: DataFrame) -> DataFrame:
-    s = F.when(F.col("is_ugly"), F.col("score") / 10).otherwise(F.col("score"))
-    return candidates.withColumn("score", F.when(F.col("is_test"), s / 2).otherwise(s))
-
-
-def search(index: dict[str, DataFrame], text: str, limit: int = RETURNED) -> DataFrame:
-    """Ranked files for a query: (filename, score, snippet)."""
-    q = parse(text)
-    terms = q.terms + q.definitions
-    if not terms:
-        raise ValueError("the query has no terms")
-    files = index["files"]
-    files = files.where(F.col("file_type").isin([x.upper() for x in q.languages])) if q.languages else files
-    for p in q.prefixes:
-        files = files.where(F.col("filename").startswith(p))
-    norm = [T.normalized(F.lit(t)) for t in terms]
-    kinds = index["definitions"].where(F.col("normalized").isin(*norm)).groupBy("filename").agg(F.max(kind_weight(F.col("symbol_type"))).alias("definition_score"), F.collect_set("normalized").alias("defined"))
-    f = files.join(kinds, "filename", "left").fillna(0, ["definition_score"])
-    has = [F.contains(F.lower("content"), F.lit(t.lower())) | F.contains(F.lower("filename"), F.lit(t.lower())) | F.coalesce(F.array_contains("defined", n), F.lit(False)) for t, n in zip(terms, norm, strict=True)]
-    f = f.where(reduce(lambda a, b: a & b, has))
-    if q.definitions:
-        f = f.where(reduce(lambda a, b: a & b, (F.coalesce(F.array_contains("defined", T.normalized(F.lit(d))), F.lit(False)) for d in q.definitions)))
-    low = F.lower("filename")
-    in_name = [F.contains(low, F.lit(t.lower())) for t in terms]
-    whole = " ".join(terms).lower()
-    border = [F.regexp_like("content", F.lit(rf"(?i)\b{re.escape(t)}|{re.escape(t)}\b")) for t in terms]
-    complete = [F.regexp_like("content", F.lit(rf"(?i)\b{re.escape(t)}\b")) for t in terms]
-    count = lambda cs: reduce(lambda a, b: a + b, (c.cast("int") for c in cs))
-    f = f.withColumns({
-        "occurrences": F.array(*(occurrences(F.col("content"), t) for t in terms)), "name_match": reduce(lambda a, b: a | b, in_name),
-        "coverage": reduce(lambda a, b: a + b, (F.when(c, len(t)).otherwise(0) for c, t in zip(in_name, terms, strict=True))) / F.length("filename"),
-        "n_matches": count(in_name), "position": F.greatest(*(F.instr(low, t.lower()) for t in terms), F.lit(0)), "whole_query": F.contains(low, F.lit(whole)),
-        "exact": low == whole, "n_complete": count(complete), "n_border": count(border), "border_full": reduce(lambda a, b: a & b, border),
-    })
-    top = second_pass(score(f)).orderBy(F.desc("score"), "filename").limit(EXPANDED)
-    first = F.coalesce(F.array_position(F.transform(F.split("content", "\n"), lambda x: F.contains(F.lower(x), F.lit(terms[0].lower()))), True), F.lit(1))
-    return top.select("filename", "score", T.snippet(F.col("content"), F.greatest(first - 4, F.lit(0)).cast("int")).alias("snippet")).orderBy(F.desc("score"), "filename").limit(limit)
-
-
 def facets(found: DataFrame, column: str, most: int = 5) -> DataFrame:
     """The most frequent values and their counts; nothing if there is only one value."""
     top = found.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most)
@@ -144,15 +41,6 @@ def suggestions(keywords: DataFrame, prefix: str, most: int = SUGGESTED) -> Data
     return keywords.where(F.col("keyword").startswith(prefix)).groupBy("keyword").agg(F.sum("occurrences").alias("occurrences")).orderBy(F.desc("occurrences"), "keyword").limit(most)
 
 
-def entities_for(entity_keywords: DataFrame, terms: list[str]) -> DataFrame:
-    """Names that contain-match exactly as many (term, keyword) pairs as there are terms; a
-    single term has to equal a keyword."""
-    if len(terms) == 1:
-        return entity_keywords.where(F.col("keyword") == terms[0]).select("name").distinct()
-    hits = reduce(lambda a, b: a + b, (F.contains("keyword", F.lit(t)).cast("int") for t in terms))
-    return entity_keywords.groupBy("name").agg(F.sum(hits).alias("n")).where(F.col("n") == len(terms)).select("name")
-
-
 def densest_window(spans: DataFrame, key: str, size: int = 7) -> DataFrame:
     """(key, line, n): where, of all windows of `size` lines that end on a span's line, the first
     with the most spans ends."""

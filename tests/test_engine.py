@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import scalars
 from quarry.functions import text as T
 from quarry.operators import cells, dataflow, diffs, graph, logs
-from quarry.plans import index, queries_versions, registry, search
+from quarry.plans import index, queries_versions, ranked, registry
 from quarry.sources import records
 from quarry.streaming import logs as live_logs
 from quarry.streaming import queue
@@ -167,12 +167,12 @@ def test_index_and_search(spark: SparkSession) -> None:
     found = rows(index.definitions(files).select("normalized", "filename", "symbol", "line_number", "symbol_type"))
     assert found == [("donkeykong", "dk.rs", "donkey_kong", 0, "VARIABLE"), ("mario", "mario.rs", "mario", 0, "VARIABLE")]
     built = index.build_index(files, imports)
-    ranked = [r["filename"] for r in search.search(built, "donkey_kong").collect()]
-    assert set(ranked) == {"dk.rs", "mario.rs"} and ranked[0] == "dk.rs"
-    assert [r["filename"] for r in search.search(built, "mario f:mario").collect()] == ["mario.rs"]
-    assert search.search(built, "no_such_word").count() == 0
+    order = [r["filename"] for r in ranked.search(built, "donkey_kong").collect()]
+    assert set(order) == {"dk.rs", "mario.rs"} and order[0] == "dk.rs"
+    assert [r["filename"] for r in ranked.search(built, "mario f:mario").collect()] == ["mario.rs"]
+    assert ranked.search(built, "no_such_word").count() == 0
     with pytest.raises(ValueError):
-        search.search(built, "")
+        ranked.search(built, "")
 
 
 def test_common_subsequence_equals_brute_force_and_takes_long_texts(monkeypatch: pytest.MonkeyPatch) -> None:
