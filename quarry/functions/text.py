@@ -108,7 +108,7 @@ def html_escaped(s: Column) -> Column:
 
 def first_line(description: Column) -> Column:
     """A change's summary: its first line that isn't blank."""
-    lines = F.filter(F.transform(F.split(description, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(description, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
 
 
