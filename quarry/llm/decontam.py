@@ -140,7 +140,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, size: int = 10, block_words: i
                     items.append(sorted({*had, *(x for x in found if x is not None)}))
                 yield common.keep_columns(batch, names, {k: pa.array(v, extra[k]) for k, v in zip(extra, (counts, spans, items), strict=True)})
 
-        out = (common.written(out) if number else out).mapInArrow(search, schema)
+        out = (common.written(out) if number else out).transform(common.in_arrow, search, schema)
     return out
 
 

@@ -153,7 +153,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, blocks: int | None = N
     id_type = vectors.schema["vec_id"].dataType.simpleString()
     blocks = blocks or blocks_for(classes.count())
     tables = tables_for(blocks)
-    keyed = common.written(classes.select("id", "vector").mapInArrow(lambda it: _keys(it, tables, blocks, probes), f"id {id_type}, dims int, table int, sketch array<long>, keys array<long>"))
+    keyed = common.written(classes.select("id", "vector").transform(common.in_arrow, lambda it: _keys(it, tables, blocks, probes), f"id {id_type}, dims int, table int, sketch array<long>, keys array<long>"))
     words = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
     own = keyed.select(F.col("id").alias("a"), "dims", "table", F.col("keys")[0].alias("key"), *words)
     look = keyed.select(F.col("id").alias("b"), "dims", "table", F.explode("keys").alias("key"), *(w.alias(f"r{i}") for i, w in enumerate(words)))
@@ -161,7 +161,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, blocks: int | None = N
     met = own.join(look, ["dims", "table", "key"]).where((F.col("a") != F.col("b")) & (apart <= sketch_limit(least)))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     va, vb = (classes.select(F.col("id").alias(c), F.col("vector").alias(f"v{c}")) for c in "ab")
-    links = common.written(pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(lambda it: _cosines(it, least), f"a {id_type}, b {id_type}"))
+    links = common.written(pairs.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").transform(common.in_arrow, lambda it: _cosines(it, least), f"a {id_type}, b {id_type}"))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
     groups = common.components(links).withColumnRenamed("node", "id")

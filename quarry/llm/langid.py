@@ -160,7 +160,7 @@ def train(docs: DataFrame, per_class: int = 1200) -> tuple[list[str], dict[str,
         return [], {}
     share = docs.sparkSession.createDataFrame([(k, min(1.0, 1.2 * per_class / n)) for k, n in counts.items()], "lang string, share double")
     chosen = rows.join(F.broadcast(share), "lang").where("draw <= share").select("lang", "draw", "text")
-    sample = chosen.mapInArrow(_sampled, "lang string, draw double, window binary").distinct().toPandas().sort_values(["lang", "draw", "window"])
+    sample = chosen.transform(common.in_arrow, _sampled, "lang string, draw double, window binary").distinct().toPandas().sort_values(["lang", "draw", "window"])
     sample = sample.groupby("lang").head(per_class)
     langs = sorted(counts)
     net = Network(len(langs))
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, langs: list[str], tables: dict[str, np.ndarray]) -
             names = [langs[i] if ok else "und" for i, ok in zip(best, known, strict=True)]
             yield common.keep_columns(batch, ["doc_id"], {"lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(known, np.clip(p.max(1), 0, 1), 0.0), pa.float64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select("doc_id", "text").transform(common.in_arrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language(docs: DataFrame, per_class: int = 1200) -> DataFrame:

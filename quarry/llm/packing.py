@@ -21,6 +21,7 @@ Other columns are not read.
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -58,6 +59,7 @@ class WordIds:
     Python splits at, go to the tokenizer whole."""
 
     def __init__(self, tokenizer_json: str, most_words: int = 300_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.t, self.most = Tokenizer.from_str(tokenizer_json), most_words
@@ -158,6 +160,8 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: Any) -> Iterator[pa.Re
         packed = [(x.astype("<u2") if x.max() < 65536 else x.astype("<u4")).tobytes() for x in ids]
         more = {"part": pa.array([part] * len(ids), pa.int32()), "place": pa.array(place, pa.int64()), "n": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(packed, pa.binary())}
         yield common.keep_columns(batch, ["doc_id", "queue"], more)
+    del ids_of
+    common.release()
 
 
 def phases(totals: dict[int, int], weights: dict[int, float], window: int = WINDOW) -> list[dict]:
@@ -271,7 +275,7 @@ def pack(docs: DataFrame, tokenizer_json: str, weights: dict[str | None, float]
     queued = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source").join(F.broadcast(names), F.col("source").eqNullSafe(F.col("own")), "left").select("doc_id", "text", F.coalesce("number", others).alias("queue"))
     tokenizer = spark.sparkContext.broadcast(tokenizer_json)
     id_field = docs.schema["doc_id"].dataType
-    encoded = common.written(queued.mapInArrow(lambda it: _encode(it, tokenizer), f"doc_id {id_field.simpleString()}, queue int, part int, place long, n long, ids binary"))
+    encoded = common.written(queued.transform(common.in_arrow, lambda it: _encode(it, tokenizer), f"doc_id {id_field.simpleString()}, queue int, part int, place long, n long, ids binary"))
     sums = encoded.groupBy("part", "queue").agg(F.sum("n").alias("sum_n"))
     before = F.coalesce(F.sum("sum_n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = common.written(sums.select("part", "queue", before.alias("before"), "sum_n"))
@@ -285,7 +289,7 @@ def pack(docs: DataFrame, tokenizer_json: str, weights: dict[str | None, float]
     plan = phases(totals, target, window)
     shared = spark.sparkContext.broadcast(plan)
     placed = encoded.join(common.small(starts.select("part", "queue", "before")), ["part", "queue"]).select("doc_id", "queue", "ids", "n", (F.col("place") + F.col("before")).alias("first"))
-    return placed.mapInArrow(lambda it: _pieces(it, shared, window), f"doc_id {id_field.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.transform(common.in_arrow, lambda it: _pieces(it, shared, window), f"doc_id {id_field.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def tokenizer_text(path: str | None = None) -> str:

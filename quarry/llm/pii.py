@@ -225,7 +225,7 @@ def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
             more = {"text": pa.array([t for t, _ in found], pa.string()), "n_pii": pa.array([len(k) for _, k in found], pa.int64()), "pii_kinds": pa.array([sorted(set(k)) for _, k in found], pa.list_(pa.string()))}
             yield common.keep_columns(batch, names, more)
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(common.in_arrow, run, schema)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

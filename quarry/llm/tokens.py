@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             split = [(t or "").split() for t in texts]
             yield common.keep_columns(batch, ["doc_id"], {"n_words": pa.array([len(w) for w in split], pa.int64()), "n_tokens": pa.array([sum(map(get, w)) for w in split], pa.int64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").transform(common.in_arrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_tokens long")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_counts(learned: DataFrame) -> DataFrame:
     """(key, n_toxic, n_ordinary, d_toxic, d_ordinary, words_before) of rows (text, toxic)."""
     sums = [F.sum(c).alias(c) for c in ("n_toxic", "n_ordinary", "d_toxic", "d_ordinary")]
-    return learned.mapInArrow(count_words, _COUNTS).groupBy("key", "before").agg(*sums).groupBy("key").agg(*sums, F.count("*").alias("words_before"))
+    return learned.transform(common.in_arrow, count_words, _COUNTS).groupBy("key", "before").agg(*sums).groupBy("key").agg(*sums, F.count("*").alias("words_before"))
 
 
 def differences(model: common.Lookup, texts: list) -> np.ndarray:
@@ -161,7 +161,7 @@ def with_difference(docs: DataFrame, blocks: list[Broadcast]) -> DataFrame:
                 d = batch.column("_difference").to_numpy() + differences(model, texts)
                 yield common.keep_columns(batch, names, {"_difference": pa.array(d)})
 
-        out = (common.written(out) if number else out).mapInArrow(run, schema)
+        out = (common.written(out) if number else out).transform(common.in_arrow, run, schema)
     return out
 
 
