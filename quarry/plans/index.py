@@ -1,19 +1,24 @@
 """The text and code index: files, trigrams, keywords, definitions, links with ranks, entities.
 
-Postings are made distinct inside each file before anything is shuffled."""
+Postings are made distinct inside each file, and kept as lists of files, before anything is shuffled."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import symbols
 from quarry.functions import text as T
 from quarry.operators import graph
+from quarry.operators.batches import in_arrow, pieces
 from quarry.operators.tables import shared_dir, spread, written
 
 
@@ -22,10 +27,47 @@ def lines(files: DataFrame, key: str, content: str) -> DataFrame:
     return files.select(key, F.posexplode(F.split(content, "\n")).alias("line_number", "line"))
 
 
+#: Bytes of texts whose files share posting lists, and signs that are looked at together.
+LISTED, SIGNS = 1 << 19, 1 << 17
+
+
+def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams (rows of three code points, ascending), and the pairs of one's number and a
+    text's, ascending. A line end stands between texts, so that none crosses it."""
+    joined = "\n".join(texts)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    grams, held = np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
+    for i in range(0, max(len(joined) - 2, 0), SIGNS):
+        signs = np.frombuffer(joined[i : i + SIGNS + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        inside = (signs[:-2] != 10) & (signs[1:-1] != 10) & (signs[2:] != 10)
+        code, found = pd.factorize((signs[:-2] << 42 | signs[1:-1] << 21 | signs[2:])[inside])
+        pair = pd.unique(code * len(texts) + owner[i : i + len(signs) - 2][inside])
+        grams, place = np.unique(np.concatenate([grams, found]), return_inverse=True)
+        old = len(place) - len(found)
+        held = np.concatenate([[place[held[0]], held[1]], [place[old:][pair // len(texts)], pair % len(texts)]], axis=1)
+    pair = np.unique(held[0] * len(texts) + held[1])
+    return np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4"), pair // max(len(texts), 1), pair % max(len(texts), 1)
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in pieces(batches, "content", LISTED):
+        grams, gram, file = _pairs(["" if t is None else t for t in texts])
+        text = grams.tobytes().decode("utf-32-le", "surrogatepass")
+        ends = np.searchsorted(gram, np.arange(len(grams) + 1)).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), batch.column("key").take(pa.array(file)))
+        yield pa.RecordBatch.from_arrays([pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()), keys], names=["trigram", "keys"])
+
+
+def posting_lists(files: DataFrame, key: str = "filename", content: str = "content") -> DataFrame:
+    """(trigram, keys): three characters of a line, never across lines, and the files that have them; a
+    row for each run of files of some LISTED bytes, with a file's key once."""
+    named = spread(files.select(F.col(key).alias("key"), F.col(content).alias("content")))
+    return in_arrow(named, _lists, f"trigram string, keys array<{files.schema[key].dataType.simpleString()}>")
+
+
 def trigram_postings(files: DataFrame, key: str = "filename", content: str = "content") -> DataFrame:
-    """(trigram, key), once for each file: three characters of a line, never across lines."""
-    grams = F.array_distinct(F.flatten(F.transform(F.split(content, "\n"), T.trigrams)))
-    return spread(files.select(key, content)).select(F.explode(grams).alias("trigram"), key)
+    """(trigram, key), once for each file."""
+    return posting_lists(files, key, content).select("trigram", F.explode("keys").alias(key))
 
 
 def keyword_counts(files: DataFrame, key: str = "filename", content: str = "content", least: int = 4) -> DataFrame:
@@ -45,25 +87,30 @@ def definitions(files: DataFrame) -> DataFrame:
     return found.withColumn("normalized", T.normalized(F.col("symbol")))
 
 
-def write_postings(postings: DataFrame, path: str, key: str = "filename") -> None:
-    """Postings in ranges of trigrams, each sorted: a look-up reads the row groups that may have its
-    trigrams."""
-    postings.repartitionByRange("trigram", key).sortWithinPartitions("trigram", key).write.mode("overwrite").parquet(path)
+#: Bytes of a row group of the stored index.
+GROUP_BYTES = 8 << 20
+
+
+def write_postings(lists: DataFrame, path: str) -> None:
+    """Posting lists, those of a task's files sorted by trigram: a look-up reads the pages that may have
+    its trigrams. Nothing is shuffled, so the cost of a file doesn't depend on how many there are."""
+    lists.sortWithinPartitions("trigram").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 _STORED: dict[tuple, str] = {}
 
 
 def stored_postings(files: DataFrame, key: str, content: str) -> DataFrame:
-    """The trigram index of texts in lower case as a table, written at its first use in a session and
-    read from then on. Files that were changed since are another table."""
+    """(trigram, key) of the trigram index of texts in lower case, a table that is written at its first
+    use in a session and read from then on. Files that were changed since are another table."""
     spark = files.sparkSession
     of = (spark.sparkContext.applicationId, key, *sorted(files.inputFiles()))
     if of not in _STORED:
-        _STORED[of] = f"{shared_dir(spark).rstrip('/')}/quarry-index-{uuid.uuid4().hex}"
-        write_postings(trigram_postings(spread(files).withColumn(content, F.lower(content)), key, content), _STORED[of], key)
-        atexit.register(shutil.rmtree, _STORED[of].removeprefix("file:"), ignore_errors=True)
-    return spark.read.parquet(_STORED[of])
+        path = f"{shared_dir(spark).rstrip('/')}/quarry-index-{uuid.uuid4().hex}"
+        write_postings(posting_lists(files.select(key, F.lower(content).alias(content)), key, content), path)
+        _STORED[of] = path
+        atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
+    return spark.read.parquet(_STORED[of]).select("trigram", F.explode("keys").alias(key))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ def by_trigrams(postings: DataFrame, query: Query) -> DataFrame:
     spark = postings.sparkSession
     terms = spark.createDataFrame([(i, g, needs[i]) for i, g in grams], "term int, trigram string, needed int")
     found = postings.where(F.col("trigram").isin(sorted({g for _, g in grams}))).join(F.broadcast(terms), "trigram")
-    full = found.groupBy("filename", "term").agg(F.count("*").alias("n"), F.any_value("needed").alias("needed")).where("n = needed")
+    full = found.groupBy("filename", "term").agg(F.count("*").alias("n"), F.any_value("needed").alias("needed")).where("n >= needed")
     return full.groupBy("filename").agg(F.bit_or(F.expr("shiftleft(1, term)")).alias("possible"))
 
 
