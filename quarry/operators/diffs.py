@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.batches import in_arrow, release, runs
+
 
 def snapshot_diff(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Full outer by key of the rows that differ in some column: key, left and right structs (one
@@ -275,34 +277,48 @@ def merge3(base: list, ours: list, theirs: list) -> tuple[list, int]:
     return out, conflicts
 
 
+#: Bytes of texts whose results are held at once.
+RUN_BYTES = 1 << 18
+
+
+def _of_texts(rows: DataFrame, texts: list[str], keep: list[str], make: Callable[..., tuple], made: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """keep and the columns `made` (types for Spark and Arrow), which `make` gives for each row's texts;
+    null is empty. Results leave Python a run of RUN_BYTES of texts at a time, so a worker holds no more
+    of them, however many rows its task has."""
+    types = {c: rows.schema[c].dataType.simpleString() for c in keep} | {c: t for c, (t, _) in made.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch, texts, RUN_BYTES):
+                done = [make(*(x or "" for x in t)) for t in zip(*(part.column(c).to_pylist() for c in texts), strict=True)]
+                more = [pa.array(c, t) for c, (_, t) in zip(zip(*done, strict=True), made.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *more], names=list(types))
+        release()
+
+    return in_arrow(rows.select(*dict.fromkeys([*keep, *texts])), run, ", ".join(f"{c} {t}" for c, t in types.items()))
+
+
 def diff_texts(pairs: DataFrame, a: str, b: str, keep: list[str], by: str = " ") -> DataFrame:
     """keep, steps (array of op and value), n_same, n_removed, n_added of two text columns' parts."""
-    kept = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            all_steps = [patience((x or "").split(by), (y or "").split(by)) for x, y in zip(pdf[a], pdf[b], strict=True)]
-            out = pdf[keep].copy()
-            out["steps"] = [[{"op": o, "value": v} for o, v in s] for s in all_steps]
-            for name, op in (("n_same", "="), ("n_removed", "-"), ("n_added", "+")):
-                out[name] = [sum(o == op for o, _ in s) for s in all_steps]
-            yield out
+    def make(x: str, y: str) -> tuple:
+        steps = patience(x.split(by), y.split(by))
+        n = Counter(op for op, _ in steps)
+        return steps, n["="], n["-"], n["+"]
 
-    return pairs.select(*keep, a, b).mapInPandas(run, f"{kept}, steps array<struct<op: string, value: string>>, n_same long, n_removed long, n_added long")
+    step = pa.list_(pa.struct([("op", pa.string()), ("value", pa.string())]))
+    made = {"steps": ("array<struct<op: string, value: string>>", step)} | {c: ("long", pa.int64()) for c in ("n_same", "n_removed", "n_added")}
+    return _of_texts(pairs, [a, b], keep, make, made)
 
 
 def merge_texts(rows: DataFrame, keep: list[str]) -> DataFrame:
     """keep, merged, n_conflicts of columns base, remote and local, line by line."""
-    kept = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            done = [merge3(*((x or "").split("\n") for x in t)) for t in zip(pdf["base"], pdf["local"], pdf["remote"], strict=True)]
-            out = pdf[keep].copy()
-            out["merged"], out["n_conflicts"] = ["\n".join(m) for m, _ in done], [n for _, n in done]
-            yield out
+    def make(*texts: str) -> tuple:
+        merged, n = merge3(*(x.split("\n") for x in texts))
+        return "\n".join(merged), n
 
-    return rows.select(*keep, "base", "remote", "local").mapInPandas(run, f"{kept}, merged string, n_conflicts long")
+    return _of_texts(rows, ["base", "local", "remote"], keep, make, {"merged": ("string", pa.string()), "n_conflicts": ("long", pa.int64())})
 
 
 _RANGES = "array<struct<start: long, end: long, kind: string, data: binary>>"
@@ -310,15 +326,8 @@ _RANGES = "array<struct<start: long, end: long, kind: string, data: binary>>"
 
 def byte_diffs(pairs: DataFrame, old: str, new: str, keep: list[str]) -> DataFrame:
     """keep and ranges (`byte_ranges`) of two text columns; null is empty."""
-    kept = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[keep].copy()
-            out["ranges"] = [[dict(zip(("start", "end", "kind", "data"), r, strict=True)) for r in byte_ranges((x or "").encode(), (y or "").encode())] for x, y in zip(pdf[old], pdf[new], strict=True)]
-            yield out
-
-    return pairs.select(*dict.fromkeys([*keep, old, new])).mapInPandas(run, f"{kept}, ranges {_RANGES}")
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("data", pa.binary())]))
+    return _of_texts(pairs, [old, new], keep, lambda x, y: (byte_ranges(x.encode(), y.encode()),), {"ranges": (_RANGES, kind)})
 
 
 def apply_byte_diffs(diffs: DataFrame, old: str, keep: list[str]) -> DataFrame:
