@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import symbols
 from quarry.functions import text as T
+from quarry.operators.batches import bounded
 
 EXPANDED, RETURNED, SUGGESTED_ENTITIES, LINES = 100, 25, 11, 7
 _PART = re.compile(r'"([^"]*)"|(\S+)')
@@ -143,11 +144,10 @@ def verified(found: DataFrame, files: DataFrame, query: Query) -> DataFrame:
     sought = query.of("", "def")
     held = found.join(files.select("filename", "content", "page_rank", "is_test", "is_ugly", "file_type"), "filename")
     if not sought:
-        spans = F.array().cast(symbols.SPAN)
-        held = held.withColumn("spans", spans)
+        held = held.withColumn("spans", F.array().cast(symbols.SPAN))
     else:
-        read = symbols.with_spans(held, "filename", "content", [t for _, t in sought])
-        held = held.join(read, "filename")
+        bounded(held.sparkSession)
+        held = held.withColumn("spans", symbols.spans_of("content", [t for _, t in sought]))
     places = F.array(*(F.lit(i) for i, _ in sought)) if sought else F.array().cast("array<int>")
     held = held.withColumn("spans", F.transform("spans", lambda s: s.withField("term", places[s["term"]])))
     of = lambda keep: F.expr(f"aggregate(filter(spans, s -> {keep}), 0, (a, s) -> a | shiftleft(1, s.term))")
