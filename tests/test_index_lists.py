@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans import index, ranked
+from quarry.plans import index, ranked, search
 
 
 @pytest.mark.parametrize("signs", [1, 5, 1 << 17])
@@ -42,3 +42,13 @@ def test_the_index_is_stored_as_lists_without_a_shuffle(spark: SparkSession, tmp
     assert all(v == sorted(v) for v in by_part.values())
     may = ranked.by_trigrams(got.withColumnRenamed("id", "filename"), ranked.parse("heat ation")).collect()
     assert {r.filename: r.possible for r in may} == {1: 3, **{i: 3 for i in range(4, 400)}}
+
+
+def test_candidates_of_a_phrase_are_counted_in_one_shuffle(spark: SparkSession) -> None:
+    files = spark.createDataFrame([(1, "the and"), (2, "the\nand he a"), (3, None), (4, "and the, then the and"), (4, "the an")], "id long, text string")
+    found = search.trigram_candidates(index.trigram_postings(files.withColumn("text", F.lower("text")), "id", "text"), "the and", "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(r.id for r in found.collect()) == [1, 4]
+    got = search.phrase_search(files, index.trigram_postings(files, "id", "text"), "the and", "id", "text").collect()
+    assert [(r.id, r.occurrences) for r in got] == [(1, 1), (4, 1)]
