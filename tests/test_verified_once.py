@@ -16,7 +16,7 @@ def test_verification_looks_into_each_text_once(spark: SparkSession) -> None:
     built = {"files": files, "definitions": definitions, "trigrams": index.trigram_postings(files.withColumn("content", F.lower("content")))}
     q = ranked.parse("heat ing")
     found = ranked.verified(ranked.remaining(ranked.candidates(built, q), q), files, q).select("filename", "content", "occurrences", "border", "complete")
-    # two files of one name are two results; joined back by name, they were four
+    # two files of one name are two results; the count of trigrams lost both
     got = sorted((r.filename, r.content, sorted(r.occurrences), r.border, r.complete) for r in found.collect())
     assert got == [("a.py", "heat and ing", [1, 1], 3, 3), ("a.py", "heating", [1, 1], 3, 0), ("c.py", "xheatx sing HEAT", [1, 2], 3, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
