@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,13 +50,29 @@ def _pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack([grams >> 42, grams >> 21 & 0x1FFFFF, grams & 0x1FFFFF], axis=1).astype("<u4"), pair // max(len(texts), 1), pair % max(len(texts), 1)
 
 
+def _listed(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct trigrams, ascending, where each one's list ends, and the lists: places of texts."""
+    grams, gram, place = _pairs(["" if t is None else t for t in texts])
+    text = grams.tobytes().decode("utf-32-le", "surrogatepass")
+    ends = np.searchsorted(gram, np.arange(len(grams) + 1)).astype(np.int32)
+    return [text[i : i + 3] for i in range(0, len(text), 3)], ends, place.astype(np.int32)
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in pieces(batches, "content", LISTED):
-        grams, gram, file = _pairs(["" if t is None else t for t in texts])
-        text = grams.tobytes().decode("utf-32-le", "surrogatepass")
-        ends = np.searchsorted(gram, np.arange(len(grams) + 1)).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), batch.column("key").take(pa.array(file)))
-        yield pa.RecordBatch.from_arrays([pa.array([text[i : i + 3] for i in range(0, len(text), 3)], pa.string()), keys], names=["trigram", "keys"])
+        grams, ends, place = _listed(texts)
+        keys = pa.ListArray.from_arrays(pa.array(ends), batch.column("key").take(pa.array(place)))
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), keys], names=["trigram", "keys"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = TaskContext.get().partitionId() << 32
+    for run, (batch, texts) in enumerate(pieces(batches, "content", LISTED), first):
+        grams, ends, place = _listed(texts)
+        places = pa.ListArray.from_arrays(pa.array(np.concatenate([ends[:1], ends])), pa.array(place))
+        named = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("key"))
+        keys = pa.concat_arrays([named, pa.nulls(len(grams), named.type)])
+        yield pa.RecordBatch.from_arrays([pa.array(["", *grams], pa.string()), pa.array(np.full(len(keys), run)), places, keys], names=["trigram", "run", "places", "keys"])
 
 
 def posting_lists(files: DataFrame, key: str = "filename", content: str = "content") -> DataFrame:
@@ -65,6 +82,14 @@ def posting_lists(files: DataFrame, key: str = "filename", content: str = "conte
     return in_arrow(named, _lists, f"trigram string, keys array<{files.schema[key].dataType.simpleString()}>")
 
 
+def placed_lists(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(trigram, run, places, keys): as `posting_lists`, but a list has a file's place in its run, and a
+    row of the empty trigram the run's keys. So each key is there once, however long it is and however
+    many trigrams its file has."""
+    named = spread(files.select(F.col(key).alias("key"), F.col(content).alias("content")))
+    return in_arrow(named, _places, f"trigram string, run long, places array<int>, keys array<{files.schema[key].dataType.simpleString()}>")
+
+
 def trigram_postings(files: DataFrame, key: str = "filename", content: str = "content") -> DataFrame:
     """(trigram, key), once for each file."""
     return posting_lists(files, key, content).select("trigram", F.explode("keys").alias(key))
@@ -107,10 +132,12 @@ def stored_postings(files: DataFrame, key: str, content: str) -> DataFrame:
     of = (spark.sparkContext.applicationId, key, *sorted(files.inputFiles()))
     if of not in _STORED:
         path = f"{shared_dir(spark).rstrip('/')}/quarry-index-{uuid.uuid4().hex}"
-        write_postings(posting_lists(files.select(key, F.lower(content).alias(content)), key, content), path)
+        write_postings(placed_lists(files.select(key, F.lower(content).alias(content)), key, content), path)
         _STORED[of] = path
         atexit.register(shutil.rmtree, path.removeprefix("file:"), ignore_errors=True)
-    return spark.read.parquet(_STORED[of]).select("trigram", F.explode("keys").alias(key))
+    stored = spark.read.parquet(_STORED[of])
+    lists, named = stored.where("trigram <> ''").select("trigram", "run", "places"), stored.where("trigram = ''").select("run", "keys")
+    return lists.join(named, "run").select("trigram", F.explode(F.transform("places", lambda p: F.get("keys", p))).alias(key))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
