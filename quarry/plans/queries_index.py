@@ -124,7 +124,7 @@ def join14_trigram_and(t) -> DataFrame:
     """Trigram candidates of two words, then verified."""
     docs = t("documents")
     postings = I.stored_postings(docs, "doc_id", "text")
-    both = S.trigram_candidates(postings, "tion", "doc_id").intersect(S.trigram_candidates(postings, "heat", "doc_id"))
+    both = S.trigram_candidates(postings, "tion", "doc_id", "heat")
     return docs.join(both, "doc_id", "left_semi").where(F.contains("text", F.lit("tion")) & F.contains("text", F.lit("heat"))).select("doc_id")
 
 

@@ -14,11 +14,11 @@ def occurrences(content: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / len(t)).cast("long")
 
 
-def trigram_candidates(postings: DataFrame, term: str, key: str) -> DataFrame:
-    """Keys that may have a term: all trigrams of its lower case (with fewer than 3 characters, all keys).
-    Postings are once for each file, so they are counted as they are, with one small shuffle."""
-    term = term.lower()
-    grams = sorted({term[i : i + 3] for i in range(len(term) - 2)})
+def trigram_candidates(postings: DataFrame, term: str, key: str, *others: str) -> DataFrame:
+    """Keys that may have a term, and all others: all trigrams of their lower case (with fewer than 3
+    characters, all keys). Postings are once for each file, so they are counted as they are, those of
+    all terms in one look-up with one small shuffle."""
+    grams = sorted({t[i : i + 3] for t in map(str.lower, (term, *others)) for i in range(len(t) - 2)})
     hits = postings.where(F.col("trigram").isin(grams)) if grams else postings
     return hits.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= len(grams)).select(key)
 

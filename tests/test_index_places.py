@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans import index, ranked
+from quarry.plans import index, queries_index, ranked  # noqa: F401
+from quarry.plans.registered import QUERIES
 
 
 @pytest.mark.parametrize("listed", [1, 40, 1 << 19])
@@ -24,3 +25,12 @@ def test_a_key_is_stored_once_however_many_trigrams_its_file_has(spark: SparkSes
     # before: each file's name in the list of each of its trigrams
     assert stored.agg(F.sum(F.size("keys"))).first()[0] == len(texts)
     assert stored.where("trigram = ''").count() == stored.select("run").distinct().count()
+
+
+def test_two_words_are_looked_up_in_the_index_once(spark: SparkSession, tmp_path) -> None:
+    texts = [(1, "the nation heats"), (2, "nation\nheat"), (3, "heat"), (4, "ti on he at"), (5, None), (6, "action, theatre"), (7, "Nation HEAT"), (8, "tio ion hea eat")]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["join14_trigram_and"](spark, str(tmp_path))
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2, 6]
+    # before: one for each word
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
